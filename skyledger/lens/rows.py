@@ -131,6 +131,12 @@ def short_texts(events: DataFrame) -> DataFrame:
 
 
 def documents(events: DataFrame, feed: str) -> DataFrame:
-    """Parsed payload documents of a feed, one per event."""
+    """Parsed payload documents of a feed, one per event.
+
+    A few bytes of an event become kilobytes of payload, so the events are
+    spread over all cores first; landed payloads come as files of their own.
+    """
+    if not events.isStreaming:
+        events = events.repartition(events.sparkSession.sparkContext.defaultParallelism, "event_id")
     texts = {NOW: now_texts, ULTRA: ultra_texts, SHORT: short_texts}[feed](events)
     return parse_landing(texts)
