@@ -7,12 +7,21 @@ in every session.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def wall_clock(when: datetime | None) -> Column:
+    """Literal of a wall-clock time.
+
+    From text, as a Python time would pass through the zones of the process and
+    of the session.
+    """
+    return F.lit(when and when.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _at(day: Column, hour: Column, minute: Column) -> Column:
     return F.make_timestamp_ntz(F.year(day), F.month(day), F.day(day), hour, minute, F.lit(0))
 
@@ -57,19 +66,47 @@ def stamp8(day: Column) -> Column:
     return F.lpad(number.cast("string"), 8, "0")
 
 
+# Place and length of year, month, day, hour and minute in an issue time.
+_FIELDS = ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2))
+
+
+def _digits(text: Column, at: int, size: int) -> Column:
+    return F.substring(text, at, size).try_cast("int")
+
+
+def is_stamp8(text: Column) -> Column:
+    """Whether a text is a ``yyyyMMdd`` date; never NULL."""
+    return is_stamp12(F.concat(text, F.lit("0000")))
+
+
+def is_stamp12(text: Column) -> Column:
+    """Whether a text is a ``yyyyMMddHHmm`` time; never NULL.
+
+    Plain arithmetic instead of parsing, for filters that run on every row.
+    """
+    number = text.try_cast("bigint")
+    year, month, day = (_digits(text, at, size) for at, size in _FIELDS[:3])
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    longest = (
+        F.when(month == 2, F.when(leap, F.lit(29)).otherwise(F.lit(28)))
+        .when(month.isin(4, 6, 9, 11), F.lit(30))
+        .otherwise(F.lit(31))
+    )
+    digits = (F.length(text) == 12) & number.between(10**11, 10**12 - 1)
+    in_range = month.between(1, 12) & (day >= 1) & (day <= longest) & (number % 10000 < 2400) & (number % 100 < 60)
+    return F.coalesce(digits & in_range, F.lit(False))
+
+
 def parse_stamp12(text: Column) -> Column:
     """Wall-clock time of a ``yyyyMMddHHmm`` text; NULL when it is not one."""
-    parts = [F.substring(text, at, size).try_cast("int") for at, size in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2))]
-    parsed = F.try_make_timestamp_ntz(*parts, F.lit(0))
-    return F.when(text.rlike(r"^\d{12}$"), parsed)
+    parsed = F.make_timestamp_ntz(*[_digits(text, at, size) for at, size in _FIELDS], F.lit(0))
+    return F.when(is_stamp12(text), parsed)
 
 
 def parse_stamp8(text: Column) -> Column:
     """Date of a ``yyyyMMdd`` text (or of the first 8 characters of a longer one)."""
-    day = F.substring(text, 1, 8)
-    parts = [F.substring(day, at, size).try_cast("int") for at, size in ((1, 4), (5, 2), (7, 2))]
-    parsed = F.try_make_timestamp_ntz(*parts, F.lit(0), F.lit(0), F.lit(0))
-    return F.when(day.rlike(r"^\d{8}$"), parsed.cast("date"))
+    parsed = F.make_date(*[_digits(text, at, size) for at, size in _FIELDS[:3]])
+    return F.when(is_stamp8(F.substring(text, 1, 8)), parsed)
 
 
 def base_hour(stamp: Column) -> Column:

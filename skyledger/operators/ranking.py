@@ -25,9 +25,14 @@ def asc(value: Column) -> list[Column]:
 
 
 def best(order: Sequence[Column], **payload: Column) -> Column:
-    """Aggregate: the payload struct of the row that comes first in ``order``."""
-    ranked = [c.alias(f"by{i}") for i, c in enumerate(order)]
-    return F.min(F.struct(*ranked, F.struct(*[c.alias(n) for n, c in payload.items()]).alias("row")))["row"]
+    """Aggregate: the payload struct of the row that comes first in ``order``.
+
+    ``min_by`` and not a minimum over one struct: that would be indifferent to
+    duplicates, and the optimizer would drop a ``distinct`` placed below it to
+    shrink the rows.
+    """
+    ranked = F.struct(*[c.alias(f"by{i}") for i, c in enumerate(order)])
+    return F.min_by(F.struct(*[c.alias(n) for n, c in payload.items()]), ranked)
 
 
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

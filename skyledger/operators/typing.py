@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.constants import FLOAT_CATEGORIES, INT_CATEGORIES
@@ -12,21 +12,22 @@ from skyledger.constants import FLOAT_CATEGORIES, INT_CATEGORIES
 REJECTED = "rejected_fields"
 
 
-def cast_numbers(df: DataFrame, columns: Sequence[str], strict: bool = False) -> DataFrame:
+def cast_numbers(
+    df: DataFrame, columns: Sequence[str], checks: Mapping[str, Column], strict: bool = False
+) -> DataFrame:
     """Cast the number columns and list, per row, those that did not convert.
 
-    A missing value counts as not convertible. With ``strict`` the first such
-    row fails the job, as a load without a quarantine would.
+    A missing value counts as not convertible. ``checks`` adds fields with a
+    condition of their own. With ``strict`` the first bad row fails the job, as
+    a load without a quarantine would.
     """
     types = {c: "double" for c in FLOAT_CATEGORIES} | {c: "bigint" for c in INT_CATEGORIES}
     numbers = [c for c in columns if c in types]
     typed = {c: F.trim(c).try_cast(types[c]) for c in numbers}
-    bad = F.filter(
-        F.array(*[F.when(value.isNull(), F.lit(c)) for c, value in typed.items()]),
-        lambda name: name.isNotNull(),
-    )
+    wrong = {c: value.isNull() for c, value in typed.items()} | {c: ~good for c, good in checks.items()}
+    bad = F.array_compact(F.array(*[F.when(condition, F.lit(c)) for c, condition in wrong.items()]))
     if strict:
-        message = F.concat(F.lit("not a number: "), F.array_join(bad, ","))
+        message = F.concat(F.lit("unusable: "), F.array_join(bad, ","))
         bad = F.when(F.size(bad) > 0, F.raise_error(message).cast("array<string>")).otherwise(bad)
     return df.withColumn(REJECTED, bad).withColumns(typed)
 

@@ -27,7 +27,10 @@ def _wide(df: DataFrame, feed: str, items: Column, field: str) -> DataFrame:
 
 
 def _finish(df: DataFrame, feed: str, strict: bool) -> DataFrame:
-    return cast_numbers(df, CATEGORIES[feed], strict).select(*RAW[feed].names, REJECTED)
+    checks = {"basetime": clock.is_stamp12(F.col("basetime"))}
+    if feed == SHORT:
+        checks["fcstdate"] = clock.is_stamp8(F.col("fcstdate"))
+    return cast_numbers(df, CATEGORIES[feed], checks, strict).select(*RAW[feed].names, REJECTED)
 
 
 def parse_now(docs: DataFrame, regions: DataFrame, strict: bool = False) -> DataFrame:
@@ -70,7 +73,7 @@ def parse_ultrashort(
     wide = _wide(rows, ULTRA, F.col("items"), "fcstValue")
     wide = wide.withColumn("RN1", precipitation.norm_rain(F.col("RN1")))
     key = icons.weather_key_ultra(F.col("PTY"), F.col("SKY"), F.col("LGT"), F.col("RN1"))
-    called = F.coalesce("crawled_at", F.lit(as_of).cast("timestamp_ntz"))
+    called = F.coalesce("crawled_at", clock.wall_clock(as_of))
     folder = F.when(clock.is_daytime(called), F.lit("day")).otherwise(F.lit("night"))
     with_icon = attach_icon(attach_region(wide, regions), icon_dim, key, folder)
     return _finish(with_icon, ULTRA, strict)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.constants import DATE_GROUPS, LAYOUTS, TTL_SHORT, TTL_ULTRA
+from skyledger.functions.clock import wall_clock
 from skyledger.functions.geo import collection_json, feature_json
 from skyledger.plans.views import SHORT_VIEWS, ULTRA_VIEWS
 from skyledger.sources.dimensions import inline_table
@@ -92,7 +93,7 @@ def documents(features: DataFrame, keys: DataFrame, as_of: datetime, part_size:
         F.count("*").alias("in_part"), collection_json(F.array_sort(F.collect_list("feature"))).alias("geojson")
     )
     slots = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    start = F.lit(as_of).cast("timestamp_ntz")
+    start = wall_clock(as_of)
     return slots.join(gathered, ["cache_key", "part"], "left").select(
         "cache_key",
         "part",

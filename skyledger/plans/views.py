@@ -96,7 +96,7 @@ def short_rain(rows: DataFrame) -> DataFrame:
     )
     # an unknown probability ranks above every known one
     pop = F.when(F.col("unknown") == 0, F.col("pop"))
-    newest = desc(F.col("basetime").try_cast("bigint"))
+    newest = [*desc(F.col("basetime").try_cast("bigint")), F.col("basetime")]
     rain = best(
         [*desc(precipitation.rain_order_short(F.col("PCP"))), *desc(pop), *asc(F.col("PCP")), *newest, F.col("geom")],
         pcp=F.col("PCP"),

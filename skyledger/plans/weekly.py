@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.constants import MISSING_TEMP
-from skyledger.functions.clock import parse_stamp12, parse_stamp8
+from skyledger.functions.clock import is_stamp12, parse_stamp8
 
 SPAN = timedelta(days=7)
 
@@ -26,12 +26,13 @@ def weekly_city_temp(daily: DataFrame, as_of: datetime) -> DataFrame:
         rows = rows.where(folder >= int(f"{since:%Y%m%d}"))
     # Issue times are fixed-width text, so text order is time order and this
     # comparison reaches the Parquet statistics; a parsed time would not.
-    floor = f"{since:%Y%m%d%H%M}" if since == since.replace(second=0, microsecond=0) else f"{since + timedelta(minutes=1):%Y%m%d%H%M}"
-    rows = rows.where((F.col("basetime") >= floor) & parse_stamp12(F.col("basetime")).isNotNull())
+    first = since if since == since.replace(second=0, microsecond=0) else since + timedelta(minutes=1)
+    issued = F.col("basetime")
+    rows = rows.where((issued >= f"{first:%Y%m%d%H%M}") & is_stamp12(issued) & (F.col("T1H") != MISSING_TEMP))
     return (
-        rows.where(F.col("T1H") != MISSING_TEMP)
-        .groupBy("city", parse_stamp8(F.col("basetime")).alias("date"))
+        rows.groupBy("city", F.substring(issued, 1, 8).alias("day"))
         .agg(F.max("T1H").alias("daily_max_temp"), F.min("T1H").alias("daily_min_temp"))
+        .select("city", parse_stamp8(F.col("day")).alias("date"), "daily_max_temp", "daily_min_temp")
         .orderBy("city", "date")
     )
 

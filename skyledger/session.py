@@ -17,7 +17,6 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.session.timeZone": "Asia/Seoul",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.constants import DATE_GROUPS, LAYOUTS
+from skyledger.functions.clock import wall_clock
 from skyledger.schemas import DOCUMENT
 
 EMPTY = '{"type":"FeatureCollection","features":[]}'
@@ -51,7 +52,7 @@ def read_geojson(docs: DataFrame, layout: str, group: str | None, as_of: datetim
 
 def serve(docs: DataFrame, keys: DataFrame, as_of: datetime) -> DataFrame:
     """The same for a table of keys."""
-    valid = docs.where(F.col("expires_at") > F.lit(as_of).cast("timestamp_ntz"))
+    valid = docs.where(F.col("expires_at") > wall_clock(as_of))
     found = keys.join(valid, "cache_key", "left")
     return found.select(
         "cache_key",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,7 +88,7 @@ class SnapshotStore:
         rows = keep_last(df, self.key, order or []) if on_dup == "last" else df
         version = uuid.uuid4().hex
         conform(rows, self.feed).write.parquet(f"{self.root}/versions/{version}")
-        issue = self._check(version)
+        issue = self._check(version, unique=on_dup == "last")
         if issue is None:
             return False
         now = self.entry()
@@ -98,17 +99,19 @@ class SnapshotStore:
         ).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
         return True
 
-    def _check(self, version: str) -> str | None:
+    def _check(self, version: str, unique: bool) -> str | None:
         """Check the key of a written version; only key columns are read.
 
-        Returns the newest issue time, None for an empty version.
+        Returns the newest issue time, None for an empty version. Rows that are
+        ``unique`` by construction are not grouped again.
         """
-        missing = F.array_max(F.array(*[F.col(c).isNull() for c in self.key]))
-        per_key = self._version(version).groupBy(*self.key).agg(F.count("*").alias("n"))
-        found = per_key.agg(
+        keys = self._version(version).select(*self.key, F.lit(1).cast("bigint").alias("n"))
+        if not unique:
+            keys = keys.groupBy(*self.key).agg(F.count("*").alias("n"))
+        found = keys.agg(
             F.max("basetime").alias("issue"),
             F.count_if(F.col("n") > 1).alias("repeated"),
-            F.count_if(missing).alias("missing"),
+            F.count_if(reduce(Column.__or__, [F.col(c).isNull() for c in self.key])).alias("missing"),
         ).first()
         if found["repeated"] or found["missing"]:
             raise KeyViolation(

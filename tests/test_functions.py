@@ -146,6 +146,22 @@ def test_bad_times_are_null(spark):
     check(spark, table, "s string", clock.parse_stamp8(F.col("s")))
 
 
+def test_stamp_check_agrees_with_the_calendar(spark):
+    texts = ["202401012359", "202401012400", "202401010060", "20240101000", "20240101000 ", " 20240101000",
+             "2024010100000", "+20240101000", "abcdefghijkl", None, "202402290000", "202302290000", "210002290000",
+             "200002290000", "202404310000", "202412310000", "202413010000", "202400010000", "202401000000", "202401320000"]
+
+    def real(text):
+        try:
+            return len(text) == 12 and text.isdigit() and bool(datetime.strptime(text, "%Y%m%d%H%M"))
+        except (TypeError, ValueError):
+            return False
+
+    both = F.struct(clock.is_stamp12(F.col("s")), clock.parse_stamp12(F.col("s")).isNotNull())
+    got = apply(spark, [(t,) for t in texts], "s string", both)
+    assert [tuple(g) for g in got] == [(real(t), real(t)) for t in texts]
+
+
 def test_horizon_wraps_midnight(spark):
     slots = apply(spark, [(22,)], "h int", clock.horizon_slots(F.col("h")))[0]
     assert [tuple(s) for s in slots] == [
