@@ -62,51 +62,42 @@ def stamp12(ts: Column) -> Column:
 
 def stamp8(day: Column) -> Column:
     """``yyyyMMdd`` text of a date or wall-clock time."""
-    number = F.year(day) * 10000 + F.month(day) * 100 + F.day(day)
-    return F.lpad(number.cast("string"), 8, "0")
+    return F.date_format(day.cast("date"), "yyyyMMdd")
 
 
-# Place and length of year, month, day, hour and minute in an issue time.
-_FIELDS = ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2))
+def _spelled(text: Column) -> Column:
+    """``yyyy-MM-dd`` spelling of a text that starts with ``yyyyMMdd``."""
+    return F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
 
 
-def _digits(text: Column, at: int, size: int) -> Column:
-    return F.substring(text, at, size).try_cast("int")
+def parse_stamp8(text: Column) -> Column:
+    """Date of a ``yyyyMMdd`` text (or of the first 8 characters of a longer one).
 
+    NULL when it is none. A number of eight digits leaves no room for signs and
+    blanks, so the cast sees digits only.
+    """
+    digits = F.substring(text, 1, 8).try_cast("int").between(10**7, 10**8 - 1)
+    return F.when(digits, _spelled(text).try_cast("date"))
 
-def is_stamp8(text: Column) -> Column:
-    """Whether a text is a ``yyyyMMdd`` date; never NULL."""
-    return is_stamp12(F.concat(text, F.lit("0000")))
 
+def parse_stamp12(text: Column) -> Column:
+    """Wall-clock time of a ``yyyyMMddHHmm`` text; NULL when it is not one."""
+    spelled = F.concat(_spelled(text), F.lit(" "), F.substring(text, 9, 2), F.lit(":"), F.substring(text, 11, 2))
+    return F.when(_is_number12(text), spelled.try_cast("timestamp_ntz"))
 
-def is_stamp12(text: Column) -> Column:
-    """Whether a text is a ``yyyyMMddHHmm`` time; never NULL.
 
-    Plain arithmetic instead of parsing, for filters that run on every row.
-    """
-    number = text.try_cast("bigint")
-    year, month, day = (_digits(text, at, size) for at, size in _FIELDS[:3])
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    longest = (
-        F.when(month == 2, F.when(leap, F.lit(29)).otherwise(F.lit(28)))
-        .when(month.isin(4, 6, 9, 11), F.lit(30))
-        .otherwise(F.lit(31))
-    )
-    digits = (F.length(text) == 12) & number.between(10**11, 10**12 - 1)
-    in_range = month.between(1, 12) & (day >= 1) & (day <= longest) & (number % 10000 < 2400) & (number % 100 < 60)
-    return F.coalesce(digits & in_range, F.lit(False))
+def _is_number12(text: Column) -> Column:
+    return (F.length(text) == 12) & text.try_cast("bigint").between(10**11, 10**12 - 1)
 
 
-def parse_stamp12(text: Column) -> Column:
-    """Wall-clock time of a ``yyyyMMddHHmm`` text; NULL when it is not one."""
-    parsed = F.make_timestamp_ntz(*[_digits(text, at, size) for at, size in _FIELDS], F.lit(0))
-    return F.when(is_stamp12(text), parsed)
+def is_stamp8(text: Column) -> Column:
+    """Whether a text is a ``yyyyMMdd`` date; never NULL."""
+    return F.coalesce((F.length(text) == 8) & parse_stamp8(text).isNotNull(), F.lit(False))
 
 
-def parse_stamp8(text: Column) -> Column:
-    """Date of a ``yyyyMMdd`` text (or of the first 8 characters of a longer one)."""
-    parsed = F.make_date(*[_digits(text, at, size) for at, size in _FIELDS[:3]])
-    return F.when(is_stamp8(F.substring(text, 1, 8)), parsed)
+def is_stamp12(text: Column) -> Column:
+    """Whether a text is a ``yyyyMMddHHmm`` time; never NULL."""
+    return parse_stamp12(text).isNotNull()
 
 
 def base_hour(stamp: Column) -> Column:
