@@ -88,24 +88,30 @@ def ultrashort_rain(rows: DataFrame, strict: bool = False) -> DataFrame:
 def short_rain(rows: DataFrame) -> DataFrame:
     """The heaviest rain, with its probability, and the heaviest snow.
 
-    Rain and snow winners come out of one grouping of the same rows, so they
-    need no join.
+    Rain and snow texts are counted side by side in one pass (grouping sets),
+    not as pairs, so the groups stay few; their winners then come out of one
+    grouping and need no join.
     """
-    texts = rows.groupBy(*BY_DATE, "basetime", "PCP", "SNO", "geom").agg(
-        F.max("POP").alias("pop"), F.count_if(F.col("POP").isNull()).alias("unknown")
+    shared = [*BY_DATE, "basetime", "geom"]
+    texts = rows.groupingSets([[*shared, "PCP"], [*shared, "SNO"]], *shared, "PCP", "SNO").agg(
+        F.grouping("PCP").alias("is_snow"),
+        F.max("POP").alias("pop"),
+        F.count_if(F.col("POP").isNull()).alias("unknown"),
     )
+    is_snow = F.col("is_snow") == 1
     # an unknown probability ranks above every known one
     pop = F.when(F.col("unknown") == 0, F.col("pop"))
     newest = [*desc(F.col("basetime").try_cast("bigint")), F.col("basetime")]
+    heaviest = desc(precipitation.rain_order_short(F.col("PCP")))
     rain = best(
-        [*desc(precipitation.rain_order_short(F.col("PCP"))), *desc(pop), *asc(F.col("PCP")), *newest, F.col("geom")],
+        [is_snow, *heaviest, *desc(pop), *asc(F.col("PCP")), *newest, F.col("geom")],
         pcp=F.col("PCP"),
         pop=pop,
         basetime=F.col("basetime"),
         geom=F.col("geom"),
     )
     snow = best(
-        [*desc(precipitation.snow_order(F.col("SNO"))), *asc(F.col("SNO")), *newest],
+        [~is_snow, *desc(precipitation.snow_order(F.col("SNO"))), *asc(F.col("SNO")), *newest],
         sno=F.col("SNO"),
         basetime=F.col("basetime"),
     )
