@@ -17,6 +17,53 @@ def last_value(items: Column, category: str, field: str) -> Column:
     return F.try_element_at(F.filter(items, lambda item: item["category"] == category), F.lit(-1))[field]
 
 
+def items_by_time(docs: DataFrame) -> DataFrame:
+    """Split each document's items by forecast date and hour, as ``groups``.
+
+    ``groups`` is an array of ``struct<fcstdate, fcsthour, items>``. The items
+    are sorted once and cut where the time changes; picking the items of every
+    time out of the whole array would be quadratic in the payload. The items of
+    a time keep their order.
+    """
+    by_time = F.sort_array(
+        F.transform(
+            "items",
+            lambda item, pos: F.struct(
+                item["fcstDate"].alias("fcstdate"),
+                item["fcstTime"].alias("fcsthour"),
+                pos.alias("pos"),
+                item["category"].alias("category"),
+                item["fcstValue"].alias("fcstValue"),
+            ),
+        )
+    )
+    # Each step is referred to more than once by the next, so the optimizer
+    # keeps it as a column of its own and evaluates it once per document.
+    items, starts = F.col("by_time"), F.col("starts")
+
+    def same(index: Column, field: str) -> Column:
+        return F.get(items, index)[field].eqNullSafe(F.get(items, index - 1)[field])
+
+    first_of_time = F.filter(
+        F.sequence(F.lit(0), F.size(items) - 1),
+        lambda index: (index == 0) | ~(same(index, "fcsthour") & same(index, "fcstdate")),
+    )
+    groups = F.transform(
+        starts,
+        lambda start, n: F.struct(
+            F.get(items, start)["fcstdate"].alias("fcstdate"),
+            F.get(items, start)["fcsthour"].alias("fcsthour"),
+            F.slice(items, start + 1, F.coalesce(F.get(starts, n + 1), F.size(items)) - start).alias("items"),
+        ),
+    )
+    return (
+        docs.withColumn("by_time", by_time)
+        .withColumn("starts", F.when(F.size(items) > 0, first_of_time))
+        .withColumn("groups", groups)
+        .drop("by_time", "starts", "items")
+    )
+
+
 def items_to_wide(
     items: DataFrame, key: Sequence[str], categories: Sequence[str], position: str = "pos"
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from skyledger.constants import CATEGORIES, NOW, SHORT, ULTRA
 from skyledger.functions import clock, icons, precipitation
 from skyledger.operators.dims import attach_icon, attach_region
 from skyledger.operators.horizon import SLOTS
-from skyledger.operators.pivot import last_value
+from skyledger.operators.pivot import items_by_time, last_value
 from skyledger.operators.typing import REJECTED, accepted, cast_numbers, rejected
 from skyledger.schemas import RAW
 from skyledger.sources.landing import with_items
@@ -81,24 +81,7 @@ def parse_ultrashort(
 
 def parse_short(docs: DataFrame, regions: DataFrame, icon_dim: DataFrame, strict: bool = False) -> DataFrame:
     """One row per forecast date and hour of a document; icons are the day set."""
-    times = F.array_distinct(
-        F.transform(
-            "items",
-            lambda item: F.struct(item["fcstDate"].alias("fcstdate"), item["fcstTime"].alias("fcsthour")),
-        )
-    )
-    groups = F.transform(
-        times,
-        lambda time: F.struct(
-            time["fcstdate"].alias("fcstdate"),
-            time["fcsthour"].alias("fcsthour"),
-            F.filter(
-                "items",
-                lambda item: (item["fcstDate"] == time["fcstdate"]) & (item["fcstTime"] == time["fcsthour"]),
-            ).alias("items"),
-        ),
-    )
-    rows = _slots(with_items(docs), groups, "fcstdate", "fcsthour")
+    rows = _slots(items_by_time(with_items(docs)), F.col("groups"), "fcstdate", "fcsthour")
     wide = _wide(rows, SHORT, F.col("items"), "fcstValue").withColumns(
         {
             "PCP": precipitation.norm_rain(F.col("PCP")),
