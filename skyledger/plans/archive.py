@@ -38,7 +38,9 @@ def daily_rollup(
         rows = keep_last(rows, RAW_KEY[feed], [F.col("batch")])
     dated = zones.with_issue_date(rows).drop("issue", "batch")
     if compacted is None:
-        compacted = feed == NOW  # hourly files of this feed are tiny
+        # hourly nowcast files are tiny, and many days at once would leave
+        # every task with a piece of each day
+        compacted = feed == NOW or end not in (None, start)
     zones.write_zone(dated, daily_root, ["year", "month", "day"], mode, compacted)
 
 

@@ -77,5 +77,10 @@ def state_stream(rows: DataFrame, store: SnapshotStore, order: Sequence[Column],
 
 
 def drop_redelivered(rows: DataFrame, key: Sequence[str], ts: str, delay: str = "2 hours") -> DataFrame:
-    """First copy of each key within the watermark delay; state older than it is freed."""
+    """First copy of each key within the watermark delay; state older than it is freed.
+
+    Rows that arrive later than ``delay`` behind the newest one are given up by
+    the watermark, so choose it above the longest expected delay. Where none may
+    be lost, ingest without it and let the daily roll-up reduce re-deliveries.
+    """
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
