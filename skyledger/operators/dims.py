@@ -24,12 +24,18 @@ def with_grid(regions: DataFrame) -> DataFrame:
 
 
 def attach_region(df: DataFrame, regions: DataFrame, by: str = "city") -> DataFrame:
-    """Province and coordinates of each row's city (or of its grid cell)."""
+    """Province and coordinates of each row's city (or of its grid cell).
+
+    ``known_region`` tells whether there is one; no row is dropped.
+    """
+    known = regions.select("city", "province", "lat", "lng", F.lit(True).alias("known_region"))
     if by == "city":
-        return df.join(regions.select("city", "province", "lat", "lng"), "city")
-    if by == "grid":
-        return df.drop("city").join(with_grid(regions), ["nx", "ny"])
-    raise ValueError(f"unknown region key: {by}")
+        joined = df.join(known, "city", "left")
+    elif by == "grid":
+        joined = df.drop("city").join(with_grid(known), ["nx", "ny"], "left")
+    else:
+        raise ValueError(f"unknown region key: {by}")
+    return joined.withColumn("known_region", F.coalesce("known_region", F.lit(False)))
 
 
 def attach_icon(df: DataFrame, icons: DataFrame, key: Column, folder: Column) -> DataFrame:

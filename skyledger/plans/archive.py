@@ -35,7 +35,7 @@ def daily_rollup(
     read = zones.read_raw_files if flat_files else zones.read_raw
     rows = read(spark, raw_root, feed, start, end, missing_ok)
     if redelivered:
-        rows = keep_last(rows, RAW_KEY[feed], [F.col("batch")])
+        rows = keep_last(rows, RAW_KEY[feed], [F.col("batch"), F.struct(*rows.columns)])
     dated = zones.with_issue_date(rows).drop("issue", "batch")
     if compacted is None:
         # hourly nowcast files are tiny, and many days at once would leave

@@ -27,7 +27,7 @@ def _wide(df: DataFrame, feed: str, items: Column, field: str) -> DataFrame:
 
 
 def _finish(df: DataFrame, feed: str, strict: bool) -> DataFrame:
-    checks = {"basetime": clock.is_stamp12(F.col("basetime"))}
+    checks = {"city": F.col("known_region"), "basetime": clock.is_stamp12(F.col("basetime"))}
     if feed == SHORT:
         checks["fcstdate"] = clock.is_stamp8(F.col("fcstdate"))
     return cast_numbers(df, CATEGORIES[feed], checks, strict).select(*RAW[feed].names, REJECTED)

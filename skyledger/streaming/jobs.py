@@ -54,7 +54,9 @@ def ingest_stream(
             if not good.isEmpty():
                 write_raw(good, raw_root, batch_id + 1)
                 if store is not None:
-                    store.update(latest_rows(good, feed), [F.col("basetime")])
+                    latest = latest_rows(good, feed)
+                    # copies within one batch: any order will do, but always the same
+                    store.update(latest, [F.struct(*latest.columns)])
             if rejects_root is not None:
                 rejected(rows).write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
         finally:

@@ -83,6 +83,7 @@ def test_now(land, regions):
         "city": "서울", "province": "서울특별시", "lat": 37.5665, "lng": 126.978, "basetime": "202401010500",
         "PTY": "0", "T1H": 3.4, "REH": 55, "RN1": "0", "VEC": 200, "WSD": 1.5, "UUU": 0.1, "VVV": -0.2}
     assert got["부산"]["RN1"] == "0mm"
+    assert [(r["city"], r["rejected_fields"]) for r in ingest.rejected(rows).collect()] == [("어디", ["city"])]
     assert ingest.accepted(rows).schema.names == RAW[NOW].names
 
 
@@ -148,8 +149,9 @@ def test_bad_dates_are_set_aside(spark, land, regions):
 def test_text_source_equals_files(spark, land, regions):
     document = doc("서울", "202401010500", observed(**NOW_VALUES))
     texts = spark.createDataFrame([(json.dumps(document, ensure_ascii=False),), ("no json",)], "value string")
-    from_text = ingest.parse_now(parse_landing(texts), regions).collect()
-    assert from_text == ingest.parse_now(land(document), regions).collect()
+    from_text = ingest.parse_now(parse_landing(texts), regions)
+    assert ingest.accepted(from_text).collect() == ingest.accepted(ingest.parse_now(land(document), regions)).collect()
+    assert ingest.rejected(from_text).count() == 1  # what could not be read is kept aside
 
 
 def test_long_items_pivot_like_documents(land):
@@ -163,6 +165,8 @@ def test_region_by_grid_cell(spark, regions):
     assert {(r["city"], r["nx"], r["ny"]) for r in cells.collect()} == {("서울", 60, 127), ("부산", 98, 76)}
     sent = spark.createDataFrame([(60, 127, "x")], "nx int, ny int, value string")
     assert attach_region(sent, regions, by="grid").first()["city"] == "서울"
+    away = attach_region(sent.withColumn("nx", F.lit(1)), regions, by="grid").first()
+    assert (away["city"], away["known_region"]) == (None, False)
 
 
 def test_any_feed(spark, land, regions):

@@ -86,6 +86,16 @@ def test_latest_state_of_a_stream(spark, root, landing, regions):
     assert raw.count() == 5
 
 
+def test_conflicting_copies_in_one_batch_settle_alike(spark, root, landing, regions):
+    landing("1.json", *[ultra_doc("a", "202401010130", t) for t in ("1", "3", "2")])
+    for n in range(2):
+        store = SnapshotStore(spark, f"{root}/state{n}", ULTRA)
+        jobs.ingest_stream(
+            stream_landing(spark, landing.path), ULTRA, regions, default_icons(spark),
+            raw_root=f"{root}/raw{n}", checkpoint=f"{root}/checkpoint{n}", store=store)
+        assert [float(r["T1H"]) for r in store.read().collect()] == [3.0]
+
+
 def test_redelivered_rows_leave_once(spark, root):
     schema = "id int, ts timestamp"
     spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 00:00:00'), (1, timestamp'2024-01-01 00:30:00'),"
