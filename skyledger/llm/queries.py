@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm.decontaminate import benchmark_hits
+from skyledger.llm.minhash import near_duplicates
 from skyledger.llm.storage import ship_code
 
 
@@ -28,6 +29,11 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "documents"), words=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
