@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm.decontaminate import benchmark_hits
 from skyledger.llm.minhash import near_duplicates
+from skyledger.llm.packing import pack
+from skyledger.llm.quality_rules import judged
 from skyledger.llm.storage import ship_code
+from skyledger.llm.token_counts import token_counts
+from skyledger.llm.token_files import read_token_files, write_token_files
+from skyledger.session import scratch_dir
+
+TOKEN_LIMIT = 4096
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,6 +25,17 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    target = scratch_dir(spark, "token-files")
+    write_token_files(_table(spark, sf, "documents"), target, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, target)
+
+
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    counts = token_counts(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     hits = benchmark_hits(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), keep=["doc_id"])
     return hits.select(
@@ -29,11 +48,24 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = judged(_table(spark, sf, "documents"))
+    return rows.withColumn("failed", F.array_join("failed", ","))
+
+
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), words=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_packing": op3_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_token_files": op6_token_files,
+    "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
 }
