@@ -1,13 +1,67 @@
-"""A corpus from raw documents to packed training sequences, one operator a stage."""
+"""A corpus from raw documents to packed training sequences, one operator a stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as
+Parquet and hands it, reread, to the next stage. All stages but the last return the
+columns of their documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+from skyledger.llm.decontaminate import without_hits
+from skyledger.llm.line_dedup import without_repeated_lines
+from skyledger.llm.minhash import without_near_duplicates
+from skyledger.llm.packing import pack
+from skyledger.llm.quality_model import without_junk
+from skyledger.llm.storage import ship_code, stored
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer rejects go."""
+    ship_code(spark)
+    return without_junk(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and documents made of them."""
+    return without_repeated_lines(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the least id."""
+    ship_code(spark)
+    return without_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly such passages go."""
+    ship_code(spark)
+    return without_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences."""
+    ship_code(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
+
+# SQL cannot express training the classifier, tokenizing or packing.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm.decontaminate import benchmark_hits
+from skyledger.llm.line_dedup import repeated_lines
 from skyledger.llm.minhash import near_duplicates
 from skyledger.llm.packing import pack
+from skyledger.llm.quality_model import scored
 from skyledger.llm.quality_rules import judged
 from skyledger.llm.storage import ship_code
 from skyledger.llm.token_counts import token_counts
@@ -48,6 +50,16 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    gone = repeated_lines(docs).select(F.col("doc").alias("doc_id"), "body", "places")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("body"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"))
+    places = F.coalesce("places", F.array().cast("array<int>"))
+    return lines.join(gone, ["doc_id", "body"], "left").select(
+        "doc_id", "n_lines", F.size(places).cast("bigint").alias("n_removed"), F.array_join(places.cast("array<string>"), ",").alias("removed_lines")
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows = judged(_table(spark, sf, "documents"))
     return rows.withColumn("failed", F.array_join("failed", ","))
@@ -61,11 +73,17 @@ def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), words=4)
 
 
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_token_files": op6_token_files,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality_classifier": op10_quality_classifier,
 }
