@@ -5,15 +5,18 @@
    codes of 4 full minima each. At a similarity of 0.8 two sets share no band
    with probability 5e-8.
 2. Documents with equal sets are one representative from here on.
-3. In each band bucket every member is paired with the least one only. Bit counts
-   of the packed signatures estimate the similarity, corrected for chance
-   collisions of 4 bits; pairs well below the bound (0.2, about five standard
-   deviations) go, the others are confirmed on their sets. Components of these
-   links swallow groups of near copies without pairing all members.
-4. A bucket whose members are still in several components is compared again,
-   in blocks of members, for pairs of different components only; what the bit
-   counts leave is confirmed and joins the links. So no pair that shares a
-   bucket is left out, whatever the size of a bucket, and no bucket is one task.
+3. In each band bucket every member is paired with the least one. Bit counts of
+   the packed signatures estimate the similarity, corrected for chance collisions
+   of 4 bits; pairs well below the bound (0.2, about five standard deviations) go.
+   A bucket whose members are not all tied together by these pairs is compared in
+   blocks by bit counts, for what ties different components. Documents that
+   likely pairs tie together are a group: no pair outside a group is similar.
+4. Only texts of groups are shuffled, once. The pairs of step 3 are confirmed on
+   whole sets and swallow groups of near copies without pairing all members. In
+   a group that is still in several components, the members outside its largest
+   one are compared on whole sets with all others, block against block; a task
+   returns one link for each two components it joins, so neither buckets nor
+   groups are one task or become rows of all pairs.
 
 Defined results: a text of fewer words than a shingle is one shingle; without
 words, or NULL, it has no set and is linked with nothing. Rows that share a
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.components import components
@@ -37,7 +40,7 @@ LANES, BITS, ROWS = 128, 4, 4
 BANDS = LANES // ROWS
 PACKED = LANES * BITS // 64
 MARGIN = 0.2
-BLOCK_ROWS = 64
+BLOCK_ROWS = 256
 _LOW = 0x1111111111111111
 _RANDOM = np.random.default_rng(20250118)
 _A = _RANDOM.integers(0, 1 << 31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -141,18 +144,15 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(near & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that hold on whole sets. The text of `a` goes once to each block of its partners, that of `b` to its pair."""
-    pairs = stored(pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(1 << 30))), "pairs")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    pairs = stored(pairs.join(blocks, "a").select("a", "b", F.pmod("block", "blocks").alias("block")), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"]), "pairs")
-    firsts = pairs.select("a", "block").distinct().join(texts.withColumnRenamed("id", "a"), "a")
-    others = pairs.join(texts.withColumnRenamed("id", "b"), "b")
-    rows = firsts.select("a", "block", F.lit(None).cast(docs.schema[id].dataType).alias("b"), "text").unionByName(others.select("a", "block", "b", "text"))
+    pairs = stored(pairs.join(stored(blocks, "blocks"), "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")), "pairs")
+    firsts = pairs.select("a", "block").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a")
+    others = pairs.join(texts.select(F.col("id").alias("b"), "text"), "b")
+    kind = texts.schema["id"].dataType
+    rows = firsts.select("a", "block", F.lit(None).cast(kind).alias("b"), "text").unionByName(others.select("a", "block", "b", "text"))
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    kind = docs.schema[id].dataType.simpleString()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, whole = None, np.empty(0, np.uint64)
@@ -171,66 +171,128 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, words: int
                         keep.append(k)
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
+    kind = kind.simpleString()
     return rows.select("a", "b", "text").mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, of a partition sorted by it."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for v in values:
+            change[1:] |= v[1:] != v[:-1]
+        change[0] = last is not None and any(v[0] != w for v, w in zip(values, last, strict=True))
+        last = [v[-1] for v in values]
+        cuts = np.flatnonzero(change).tolist()
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if low in cuts and rest:
+                yield pa.Table.from_batches(rest).combine_chunks()
+                rest = []
+            if high > low:
+                rest.append(batch.slice(low, high - low))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+class _Joined:
+    """Components seen by one task; `join` tells whether two were apart."""
+
+    def __init__(self, roots: list):
+        codes: dict = {}
+        self.own = np.array([codes.setdefault(r, len(codes)) for r in roots], dtype=np.int64)
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.own[i], self.own[j]
+        if a != b:
+            self.own[self.own == b] = a
+        return a != b
+
+
+def _block_pairs(rows: DataFrame, key: str, blocks: Column, own: Column, firsts: Column) -> DataFrame:
+    """Each row once for each pair of blocks it takes part in. Blocks from `firsts` on are not paired with each other."""
+    rows = rows.withColumn("own", own.cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("own") < firsts, blocks).otherwise(firsts).cast("int") - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+    return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of either block; both are all rows where a block meets itself."""
+    own = table["own"].to_numpy()
+    if table["low"][0] == table["high"][0]:
+        return np.arange(len(own)), np.arange(len(own))
+    first = own == table["low"][0].as_py()
+    return np.flatnonzero(first), np.flatnonzero(~first)
+
+
 def _across(members: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Likely pairs of members of one bucket but different components, compared block against block."""
+    """Pairs of ids that tie different components of one bucket by their bit counts, one for each two components a task joins."""
     sizes = members.groupBy("code").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = members.join(stored(sizes, "buckets"), "code").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    rows = rows.repartition("code", "low", "high").sortWithinPartitions("code", "low", "high")
+    rows = members.join(stored(sizes, "buckets"), "code")
+    rows = _block_pairs(rows, "code", F.col("blocks"), F.pmod(F.xxhash64("id"), F.col("blocks")), F.col("blocks"))
     bound = percent / 100 - MARGIN
 
-    def compare(group: dict[str, np.ndarray], ids: list, same: bool) -> tuple[list, list]:
-        sig, root, n, own = group["sig"], group["root"], group["n"], group["own"]
-        left = np.arange(len(ids)) if same else np.flatnonzero(own == own.min())
-        right = left if same else np.flatnonzero(own != own.min())
-        a, b = [], []
-        for i in left:
-            cand = right[root[right] != root[i]]
-            cand = cand[cand > i] if same else cand
-            x = sig[cand] ^ sig[i]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            differing = np.bitwise_count(x & np.uint64(_LOW)).sum(axis=1)
-            near = (_estimate(differing) >= bound) & (100 * np.minimum(n[cand], n[i]) >= percent * np.maximum(n[cand], n[i]))
-            for j in cand[near]:
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
-        return a, b
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def found(table: pa.Table) -> pa.RecordBatch:
-            keys = [table[c].to_numpy() for c in ("code", "low", "high")]
-            cuts = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1
+    def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["code", "low", "high"]):
+            left, right = _sides(table)
             sig = np.stack([table[c].to_numpy() for c in SIGNATURE], axis=1).view(np.uint64)
-            whole = {"sig": sig, "root": np.array(table["root"].to_pylist()), "n": table["n_shingles"].to_numpy(), "own": table["own"].to_numpy()}
-            ids, a, b = table["id"].to_pylist(), [], []
-            for s, e in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                if e - s > 1:
-                    more = compare({k: v[s:e] for k, v in whole.items()}, ids[s:e], keys[1][s] == keys[2][s])
-                    a += more[0]
-                    b += more[1]
-            return pa.RecordBatch.from_arrays([pa.array(a, table["id"].type), pa.array(b, table["id"].type)], names=["a", "b"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-            last = [table[c][-1].as_py() for c in ("code", "low", "high")]
-            keys = [table[c].to_numpy() for c in ("code", "low", "high")]
-            other = np.flatnonzero((keys[0] != last[0]) | (keys[1] != last[1]) | (keys[2] != last[2]))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield found(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield found(rest)
-
-    return rows.mapInArrow(pairs, f"a {kind}, b {kind}").distinct()
+            n, joined, a, b = table["n_shingles"].to_numpy(), _Joined(table["root"].to_pylist()), [], []
+            for i in left.tolist():
+                apart = right[joined.own[right] != joined.own[i]]
+                x = sig[apart] ^ sig[i]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                differing = np.bitwise_count(x & np.uint64(_LOW)).sum(axis=1)
+                near = (_estimate(differing) >= bound) & (100 * np.minimum(n[apart], n[i]) >= percent * np.maximum(n[apart], n[i]))
+                for j in apart[near].tolist():
+                    if joined.join(i, j):
+                        a.append(i)
+                        b.append(j)
+            ids = table["id"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (a, b)], names=["a", "b"])
+
+    return rows.mapInArrow(ties, f"a {kind}, b {kind}").distinct()
+
+
+def _within(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links on whole sets between the components of a group: all outside the largest against all others, in blocks."""
+    parts = texts.groupBy("group", "root").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    groups = stored(groups.where("most < all"), "groups")
+    rows = texts.join(groups, "group")
+    firsts, others = (F.ceil(x / BLOCK_ROWS).cast("int") for x in (F.col("all") - F.col("most"), F.col("most")))
+    own = F.when(F.col("root") == F.col("largest"), firsts + F.pmod(F.xxhash64("id"), others)).otherwise(F.pmod(F.xxhash64("id"), firsts))
+    rows = _block_pairs(rows, "group", firsts + others, own, firsts).select("group", "low", "high", "own", "id", "root", "text")
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["group", "low", "high"]):
+            left, right = _sides(table)
+            sets = [s for part in table.to_batches() for cut in byte_slices(part, "text") for s in shingle_sets(cut.column("text"), words)]
+            sizes = np.array([len(x) for x in sets])
+            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            own = np.split(codes, np.cumsum(sizes)[:-1])
+            every = np.concatenate([own[j] for j in right]) if len(right) else codes[:0]
+            first = np.concatenate(([0], np.cumsum(sizes[right])[:-1])).astype(np.int64)
+            seen = np.zeros(codes.max(initial=0) + 1, dtype=np.uint8)
+            joined, a, b = _Joined(table["root"].to_pylist()), [], []
+            for i in left.tolist() if len(right) else []:
+                if (joined.own[right] == joined.own[i]).all():
+                    continue
+                seen[own[i]] = 1
+                common = np.add.reduceat(seen[every], first, dtype=np.int64)
+                seen[own[i]] = 0
+                for j in right[100 * common >= percent * (sizes[i] + sizes[right] - common)].tolist():
+                    if joined.join(i, j):
+                        a.append(i)
+                        b.append(j)
+            ids = table["id"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (a, b)], names=["a", "b"])
+
+    return rows.mapInArrow(links, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -244,17 +306,24 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     hubs = stored(coded.groupBy("code").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last"), "hubs")
     members = stored(coded.join(hubs, "code").select("code", "id", "hub"), "members")
     stars = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_confirmed(_likely(stars, reps, percent), docs, id, text, words, percent), "confirmed")
-    roots = components(links)
-
-    # Buckets whose members lie in several components hold the pairs not looked at yet.
-    labelled = members.select("code", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("code", "id", F.coalesce("root", "id").alias("root"))
-    labelled = stored(labelled, "labelled")
-    mixed = stored(labelled.groupBy("code").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("code"), "mixed")
-    open_ = labelled.join(mixed, "code", "left_semi").join(reps.select("id", "n_shingles", *SIGNATURE), "id")
-    across = stored(_across(stored(open_, "open"), kind, percent), "across")
-    more = _confirmed(across, docs, id, text, words, percent)
-    roots = components(links.select("a", "b").union(more))
+    likely = stored(_likely(stars, reps, percent), "likely")
+
+    def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    # Buckets whose members lie in several components hold pairs not looked at yet.
+    tied = stored(labelled(members.select("code", "id"), components(likely)), "tied")
+    mixed = stored(tied.groupBy("code").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("code"), "mixed")
+    open_ = stored(tied.join(mixed, "code", "left_semi").join(reps.select("id", "n_shingles", *SIGNATURE), "id"), "open")
+    groups = components(likely.union(_across(open_, kind, percent)))
+    grouped = groups.union(groups.select("root", "root").distinct()).select(F.col("node").alias("id"), F.col("root").alias("group"))
+
+    # The one shuffle of texts; by sorting at every size, as the group list grows with the corpus.
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(stored(grouped, "grouped").hint("merge"), "id")
+    texts = stored(texts, "texts")
+    links = stored(_confirmed(likely, texts, words, percent), "confirmed")
+    more = _within(stored(labelled(texts, components(links)), "labelled"), words, percent)
+    roots = components(links.union(more))
 
     rooted = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*equal, F.coalesce("root", "id").alias("component_id"))
     out = signed.select("id", "n_shingles", *equal).join(stored(rooted, "roots"), equal, "left")
