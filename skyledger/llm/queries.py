@@ -14,6 +14,7 @@ from skyledger.llm.minhash import near_duplicates
 from skyledger.llm.packing import pack
 from skyledger.llm.quality_model import scored
 from skyledger.llm.quality_rules import judged
+from skyledger.llm.secrets import secret_spans
 from skyledger.llm.storage import ship_code
 from skyledger.llm.token_counts import token_counts
 from skyledger.llm.token_files import read_token_files, write_token_files
@@ -33,6 +34,11 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_token_files(spark, target)
 
 
+def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = secret_spans(_table(spark, sf, "documents"))
+    return rows.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counts = token_counts(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_token_files": op6_token_files,
+    "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_classifier": op10_quality_classifier,
