@@ -16,6 +16,7 @@ from skyledger.llm.quality_model import scored
 from skyledger.llm.quality_rules import judged
 from skyledger.llm.secrets import secret_spans
 from skyledger.llm.storage import ship_code
+from skyledger.llm.substring_dedup import without_repeated_spans
 from skyledger.llm.token_counts import token_counts
 from skyledger.llm.token_files import read_token_files, write_token_files
 from skyledger.session import scratch_dir
@@ -28,6 +29,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return without_repeated_spans(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch_dir(spark, "token-files")
     write_token_files(_table(spark, sf, "documents"), target, public_tokenizers.path("word_bpe_49k.json"))
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
