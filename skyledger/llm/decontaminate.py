@@ -169,30 +169,28 @@ def benchmark_hits(
 
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share: float = 0.5, **options) -> DataFrame:
-    """Documents without the benchmark words found in them.
+    """Documents without the benchmark words found in them; all columns stay.
 
     Hit spans are cut out of the text. A document of which more than
     `drop_share` of the words are hit goes as a whole; 0 drops every hit one.
     """
-    hits = benchmark_hits(docs, benchmark, text=text, **options)
-    columns = docs.columns
+    columns = {f"c{i}": c for i, c in enumerate(docs.columns)}  # no clash with the result columns
+    own = next(k for k, c in columns.items() if c == text)
+    hits = benchmark_hits(docs.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()]), benchmark, text=own, **options)
     left = hits.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.col("n_words") * F.lit(drop_share)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text)
-            ranges = batch.column("hit_bytes")
-            changed = pc.greater(pc.list_value_length(ranges), 0)
-            if pc.any(changed).as_py():
+            texts, ranges = batch.column(own), batch.column("hit_bytes")
+            changed = np.flatnonzero(pc.list_value_length(ranges).to_numpy(zero_copy_only=False) > 0).tolist()
+            if changed:
                 new = texts.to_pylist()
-                for k in np.flatnonzero(changed.to_numpy(zero_copy_only=False)):
-                    raw, flat = new[k].encode(), ranges[int(k)].as_py()
+                for k in changed:
+                    raw, flat = new[k].encode(), ranges[k].as_py()
                     keep = zip([0, *flat[1::2]], [*flat[::2], len(raw)], strict=True)
                     new[k] = b"".join(raw[a:b] for a, b in keep).decode()
                 texts = pa.array(new, texts.type)
-            names = [c for c in batch.schema.names if c not in RESULT]
-            yield pa.RecordBatch.from_arrays([texts if c == text else batch.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([texts if k == own else batch.column(k) for k in columns], names=list(columns))
 
-    kept = [f for f in left.schema if f.name not in RESULT]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return left.mapInArrow(cut, schema).select(*[c for c in columns if c not in RESULT])
+    schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in columns.items())
+    return left.select(*columns, "hit_bytes").mapInArrow(cut, schema).select(*[F.col(k).alias(c) for k, c in columns.items()])

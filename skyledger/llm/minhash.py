@@ -333,5 +333,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that have an earlier one in their component; all columns stay."""
-    gone = near_duplicates(docs, id, text, words, percent).where(~F.col("kept")).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(stored(gone, "gone"), F.col(id) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id, text, words, percent).where(~F.col("kept"))
+    gone = stored(gone.select(F.struct(F.col(id)).alias("_gone_")).distinct(), "gone")
+    return docs.join(gone, F.struct(F.col(id)) == F.col("_gone_"), "left_anti")

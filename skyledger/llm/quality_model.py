@@ -40,7 +40,7 @@ EPOCHS = 100
 RIDGE = 1.0
 SHRINK = 20.0
 START = 0.2
-THRESHOLD = 0.5
+THRESHOLD = 0.35
 
 # Frequent function words of the four languages, and insults.
 STOP_WORDS = (
@@ -236,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame | None, id: str = "doc_id", text: s
     votes = stored(_given(labels, votes, id), "votes")
     # at most VOTES ** len(LABELLERS) patterns for each given class
     rows = sorted(tuple(r) for r in votes.groupBy("pattern", "given").count().collect())
-    patterns, given = np.array([_votes(r[0]) for r in rows]).reshape(-1, len(LABELLERS)), np.array([r[1] for r in rows], dtype=np.int64)
+    patterns, given = np.array([_votes(r[0]) for r in rows], dtype=np.int64).reshape(-1, len(LABELLERS)), np.array([r[1] for r in rows], dtype=np.int64)
     posterior, _ = estimate(patterns, given, np.array([r[2] for r in rows], dtype=np.float64))
     good = {(r[0], r[1]): p for r, p in zip(rows, posterior[:, GOOD].tolist(), strict=True)}
 

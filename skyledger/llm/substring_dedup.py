@@ -56,7 +56,7 @@ def spans_of(texts: pa.Array, sentences: int, words: int) -> Spans:
     n = len(starts)
     if not n:
         none = np.empty(0, np.int64)
-        return Spans(none, none, np.zeros(len(offsets), np.int64), none, [none, none])
+        return Spans(none, none, np.zeros(len(offsets), np.int64), none, [np.empty(0, np.uint64)] * 2)
     stop = np.append(_END[data[:-1]] & ~NOT_SPACE[data[1:]], False) | (data == _FEED)
     stops = np.concatenate(([0], np.cumsum(stop)))
     fresh = np.ones(n, dtype=bool)

@@ -60,10 +60,12 @@ class Pieces:
             own = {p: self._own(p) for p in (",", ".")}
             self._add(cut, [np.concatenate((self._own(p[:-1]), own[p[-1]])) for p in cut])
 
-    def _own(self, piece: str) -> np.ndarray:
-        i = self.index[piece]
+    def _own_number(self, i: int) -> np.ndarray:
         return self.ids[self.at[i] : self.at[i + 1]]
 
+    def _own(self, piece: str) -> np.ndarray:
+        return self._own_number(self.index[piece])
+
     def _add(self, pieces: list[str], ids: list) -> None:
         if not pieces:
             return
