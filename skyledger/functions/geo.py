@@ -36,11 +36,3 @@ def feature_json(point: Column, properties: Iterable[str]) -> Column:
     )
     return F.to_json(body, KEEP_NULLS)
 
-
-def collection_json(features: Column) -> Column:
-    """A feature collection from an array of feature texts."""
-    return F.concat(
-        F.lit('{"type":"FeatureCollection","features":['),
-        F.array_join(features, ","),
-        F.lit("]}"),
-    )

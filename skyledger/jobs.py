@@ -15,7 +15,7 @@ from skyledger.constants import FEEDS, NOW, SHORT, ULTRA
 from skyledger.functions import clock
 from skyledger.plans import archive, publish, weekly
 from skyledger.session import build_session
-from skyledger.sources import dimensions, zones
+from skyledger.sources import dimensions
 from skyledger.sources.landing import stream_landing
 from skyledger.sources.snapshot import SnapshotStore
 from skyledger.streaming import jobs
@@ -42,7 +42,7 @@ def daily(spark: SparkSession, args: argparse.Namespace) -> None:
     """The day before ``--as-of``."""
     archive.daily_rollup(
         spark, args.feed, args.source, args.target, clock.target_day(args.as_of),
-        flat_files=args.flat_files, redelivered=args.redelivered,
+        flat_files=args.flat_files,
     )
 
 
@@ -58,7 +58,7 @@ def yearly(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def weekly_summary(spark: SparkSession, args: argparse.Namespace) -> None:
     """The seven days before ``--as-of``."""
-    table = weekly.weekly_city_temp(zones.read_zone(spark, args.source, NOW), args.as_of)
+    table = weekly.weekly_city_temp(weekly.read_week(spark, args.source, args.as_of), args.as_of)
     weekly.write_weekly(table, args.target, args.format)
 
 
@@ -84,12 +84,11 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(f"--{path}", required=True)
         return sub
 
-    landed = command("ingest", ingest, datetime.fromisoformat, "landing", "regions", "raw", "checkpoint", feed=True)
-    for optional in ("state", "icons", "rejects"):
+    landed = command("ingest", ingest, datetime.fromisoformat, "landing", "regions", "raw", "rejects", "checkpoint", feed=True)
+    for optional in ("state", "icons"):
         landed.add_argument(f"--{optional}")
     days = command("daily", daily, date.fromisoformat, "source", "target", feed=True)
     days.add_argument("--flat-files", action="store_true", help="raw folder of <issue time>_*.parquet files")
-    days.add_argument("--redelivered", action="store_true", help="keep the last copy of rows that came again")
     command("monthly", monthly, date.fromisoformat, "source", "target", feed=True)
     command("yearly", yearly, date.fromisoformat, "source", "target", feed=True)
     summary = command("weekly", weekly_summary, datetime.fromisoformat, "source", "target")

@@ -186,8 +186,9 @@ def slot_time(d: Dialect, lead: str) -> str:
 
 
 def wind_text(d: Dialect, k: str) -> str:
-    """Wind speed as sent; now and then it is not a number."""
-    return f"CASE WHEN {k} % 53 = 0 THEN 'bad' ELSE {d.text(numbers(k)['WSD'])} END"
+    """Wind speed as sent; now and then it is no number, or none that fits."""
+    bad = f"CASE {k} % 3 WHEN 0 THEN 'bad' WHEN 1 THEN 'NaN' ELSE '12345' END"
+    return f"CASE WHEN {k} % 53 = 0 THEN {bad} ELSE {d.text(numbers(k)['WSD'])} END"
 
 
 def short_hour(d: Dialect) -> str:

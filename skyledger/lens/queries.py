@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from skyledger.operators import dims, horizon, pivot, ranking
 from skyledger.operators.typing import REJECTED, accepted, rejected
 from skyledger.plans import archive, ingest, mapview, publish, views, weekly
 from skyledger.plans.latest import latest_rows
-from skyledger.schemas import SNAPSHOT_KEY
+from skyledger.schemas import RAW_KEY, SNAPSHOT_KEY
 from skyledger.session import scratch_dir
 from skyledger.sources import dimensions, documents, zones
 from skyledger.sources.landing import explode_items
@@ -28,10 +28,9 @@ from skyledger.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-WEEKLY_AS_OF = datetime(2024, 1, 31)
+WEEKLY_AS_OF = datetime(2024, 1, 17, 9, 30)
 PUBLISH_AS_OF = datetime(2024, 1, 28, 9, 0)
-SERVE_AS_OF = datetime(2024, 1, 28, 12, 0)
-FIRST_DAY, LAST_DAY = date(2024, 1, 1), date(2024, 1, 31)
+SERVE_AS_OF = (datetime(2024, 1, 28, 10, 0), datetime(2024, 1, 28, 12, 0))
 ZOOM = 9
 MAP_TIERS = [(f"NATION_{n}", 1 + n // 8) for n in range(20)]
 
@@ -66,34 +65,41 @@ def _view(view: Callable[[DataFrame], DataFrame], feed: str) -> Query:
 # -- archive ----------------------------------------------------------------
 
 
-def _daily_zone(spark: SparkSession, sf: str, feed: str, root: str) -> str:
-    zones.write_raw(lens.raw(lens.base(spark, sf), feed), f"{root}/raw")
-    archive.daily_rollup(spark, feed, f"{root}/raw", f"{root}/daily", FIRST_DAY, LAST_DAY)
-    return f"{root}/daily"
+def _period(rows: DataFrame) -> tuple[date, date]:
+    """First and last issue date of raw rows."""
+    low, high = rows.agg(F.min("basetime"), F.max("basetime")).first()
+    return datetime.strptime(low[:8], "%Y%m%d").date(), datetime.strptime(high[:8], "%Y%m%d").date()
 
 
-def rollup_daily(spark: SparkSession, sf: str, feed: str = NOW) -> DataFrame:
-    daily = _daily_zone(spark, sf, feed, scratch_dir(spark, "daily"))
-    return flat(zones.read_zone(spark, daily, feed))
+def _daily_zone(spark: SparkSession, sf: str, feed: str, root: str) -> tuple[str, date, date]:
+    """Every issue is delivered twice: by the rows of even events, then by those of odd ones, which replace equal keys."""
+    rows = lens.raw(lens.base(spark, sf), feed, "event_id")
+    period = _period(rows)
+    for odd in (0, 1):
+        delivery = ranking.keep_last(rows.where(F.col("event_id") % 2 == odd), RAW_KEY[feed], [F.col("event_id")])
+        zones.write_raw(delivery.drop("event_id"), f"{root}/raw", odd)
+    archive.daily_rollup(spark, feed, f"{root}/raw", f"{root}/daily", *period)
+    return f"{root}/daily", *period
 
 
-def rollup_monthly(spark: SparkSession, sf: str, feed: str = ULTRA) -> DataFrame:
-    root = scratch_dir(spark, "monthly")
-    daily = _daily_zone(spark, sf, feed, root)
-    archive.monthly_rollup(spark, feed, daily, f"{root}/monthly", 2024, 1)
-    return flat(zones.read_zone(spark, f"{root}/monthly", feed, 2024, 1))
+def _rollup(level: str, feed: str) -> Query:
+    """Raw rows moved to a level of the archive over all their periods, then read back."""
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        root = scratch_dir(spark, level)
+        zone, first, last = _daily_zone(spark, sf, feed, root)
+        months = sorted({(d.year, d.month) for d in (first + timedelta(days=n) for n in range((last - first).days + 1))})
+        if level != "daily":
+            for year, month in months:
+                archive.monthly_rollup(spark, feed, zone, f"{root}/monthly", year, month)
+            zone = f"{root}/monthly"
+        if level == "yearly":
+            for year in sorted({year for year, _ in months}):
+                archive.yearly_rollup(spark, feed, zone, f"{root}/yearly", year)
+            zone = f"{root}/yearly"
+        return flat(zones.read_zone(spark, zone, feed))
 
-def rollup_yearly(spark: SparkSession, sf: str, feed: str = SHORT) -> DataFrame:
-    """Short forecasts are filed under their issue time, here from 28 Dec 2023 on."""
-    root = scratch_dir(spark, "yearly")
-    zones.write_raw(lens.raw(lens.base(spark, sf), feed), f"{root}/raw")
-    archive.daily_rollup(spark, feed, f"{root}/raw", f"{root}/daily", date(2023, 12, 1), LAST_DAY)
-    for year, month in ((2023, 12), (2024, 1)):
-        archive.monthly_rollup(spark, feed, f"{root}/daily", f"{root}/monthly", year, month)
-    for year in (2023, 2024):
-        archive.yearly_rollup(spark, feed, f"{root}/monthly", f"{root}/yearly", year)
-    return flat(zones.read_zone(spark, f"{root}/yearly", feed))
+    return run
 
 
 def weekly_city_temp(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,8 +109,8 @@ def weekly_city_temp(spark: SparkSession, sf: str) -> DataFrame:
 def weekly_table(spark: SparkSession, sf: str) -> DataFrame:
     """The weekly job as it runs: partitioned daily zone in, overwritten table out."""
     root = scratch_dir(spark, "weekly")
-    daily = _daily_zone(spark, sf, NOW, root)
-    table = weekly.weekly_city_temp(zones.read_zone(spark, daily, NOW), WEEKLY_AS_OF)
+    daily, _, _ = _daily_zone(spark, sf, NOW, root)
+    table = weekly.weekly_city_temp(weekly.read_week(spark, daily, WEEKLY_AS_OF), WEEKLY_AS_OF)
     weekly.write_weekly(table, f"{root}/summary")
     return flat(spark.read.parquet(f"{root}/summary"))
 
@@ -210,6 +216,22 @@ def _ingest(feed: str) -> Query:
     return lambda spark, sf: flat(accepted(_parsed(spark, sf, feed)))
 
 
+def _ingest_state(feed: str) -> Query:
+    """Payload documents through the ingest stream to the latest state."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        root = scratch_dir(spark, "ingest-state")
+        store = SnapshotStore(spark, f"{root}/state", feed)
+        docs = lens.documents(lens.place(_event_stream(spark, sf), sf), feed)
+        jobs.ingest_stream(
+            docs, feed, lens.regions(spark, sf), dimensions.default_icons(spark),
+            raw_root=f"{root}/raw", rejects_root=f"{root}/rejects", checkpoint=f"{root}/checkpoint", store=store,
+        )
+        return flat(store.read().groupBy("basetime").agg(F.count("*").alias("rows"), F.countDistinct("city").alias("cities")))
+
+    return run
+
+
 def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """What the quarantine holds: rows per feed and unusable fields."""
     parts = []
@@ -270,21 +292,23 @@ def geojson_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_collection(spark: SparkSession, sf: str) -> DataFrame:
-    today = PUBLISH_AS_OF.date()
-    rows = lens.state(spark, sf, SHORT)
-    docs = publish.documents(publish.short_features(rows, today), publish.short_keys(spark, today), PUBLISH_AS_OF)
+    """The lines of all twenty documents."""
+    ultra, short = _features(spark, sf)
+    docs = publish.documents(*ultra, PUBLISH_AS_OF).unionByName(publish.documents(*short, PUBLISH_AS_OF))
     return flat(docs)
 
 
 def serve_geojson(spark: SparkSession, sf: str) -> DataFrame:
-    """Both jobs into one store, read three hours later: the very-short keys have run out."""
+    """Both jobs into one store, read an hour later and three hours later: by then the very-short keys have run out."""
     root = scratch_dir(spark, "documents")
     publish.publish_ultrashort(lens.state(spark, sf, ULTRA), root, PUBLISH_AS_OF)
     publish.publish_short(lens.state(spark, sf, SHORT), root, PUBLISH_AS_OF)
     keys = publish.ultrashort_keys(spark).select("cache_key").unionByName(
         publish.short_keys(spark, PUBLISH_AS_OF.date()).select("cache_key")
     )
-    return flat(documents.serve(documents.read_documents(spark, root), keys, SERVE_AS_OF))
+    docs = documents.read_documents(spark, root)
+    served = [documents.serve(docs, keys, at).withColumn("hours", F.lit((at - PUBLISH_AS_OF).seconds // 3600)) for at in SERVE_AS_OF]
+    return flat(served[0].unionByName(served[1]))
 
 
 def map_tier_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,40 +330,44 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
+def _pieces(rows: DataFrame, piece: Column, n: int, root: str) -> DataFrame:
+    """A stream that brings the rows in n micro-batches, by ``piece``."""
+    spark = rows.sparkSession
+    for k in range(n):
+        rows.where(piece == k).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Payload documents as a stream into the raw zone, read back."""
     root = scratch_dir(spark, "ingest")
     docs = lens.documents(lens.place(_event_stream(spark, sf), sf), NOW)
     jobs.ingest_stream(
         docs, NOW, lens.regions(spark, sf), dimensions.default_icons(spark),
-        raw_root=f"{root}/raw", checkpoint=f"{root}/checkpoint",
+        raw_root=f"{root}/raw", rejects_root=f"{root}/rejects", checkpoint=f"{root}/checkpoint",
     )
-    return flat(zones.read_raw(spark, f"{root}/raw", NOW, FIRST_DAY, LAST_DAY).drop("issue", "batch"))
+    period = _period(lens.raw(lens.base(spark, sf), NOW))
+    return flat(zones.read_raw(spark, f"{root}/raw", NOW, *period).drop("issue", "batch"))
 
 
 def stream_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest issue of a stream of raw rows."""
+    """The newest issue of a stream of raw rows that comes in three pieces, each with rows of all issues."""
     root = scratch_dir(spark, "stream-state")
     store = SnapshotStore(spark, f"{root}/state", ULTRA)
-    rows = lens.raw(lens.place(_event_stream(spark, sf), sf), ULTRA, "event_id")
+    rows = _pieces(lens.raw(lens.base(spark, sf), ULTRA, "event_id"), F.col("event_id") % 3, 3, f"{root}/in")
     jobs.state_stream(rows, store, [F.col("event_id")], f"{root}/checkpoint")
     return flat(store.read())
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Events that arrive twice leave the stream once."""
+    """Events that arrive up to three times, in four micro-batches and any order of time, are kept once."""
     root = scratch_dir(spark, "dedup")
-    events = _event_stream(spark, sf).select("event_id", "ts", "user_id", F.explode(F.sequence(F.lit(0), F.col("event_id") % 3)))
-    once = jobs.drop_redelivered(
-        events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id"), ["event_id"], "ts"
-    )
-    query = (
-        once.select("event_id", "user_id").writeStream.format("parquet")
-        .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        "event_id", "user_id", F.date_format("ts", "yyyyMMdd").alias("day"), F.explode(F.sequence(F.lit(0), F.col("event_id") % 3)).alias("copy")
     )
-    query.awaitTermination()
-    return flat(spark.read.schema("event_id BIGINT, user_id BIGINT").parquet(f"{root}/out"))
+    copies = _pieces(events, (F.col("event_id") + F.col("copy")) % 4, 4, f"{root}/in")
+    jobs.first_copies(copies, ["event_id"], "day", f"{root}/out", f"{root}/checkpoint")
+    return flat(spark.read.parquet(f"{root}/out").select("event_id", "user_id"))
 
 
 QUERIES: dict[str, Query] = {
@@ -360,12 +388,12 @@ QUERIES: dict[str, Query] = {
     "ingest_ultrashort": _ingest(ULTRA),
     "ingest_short": _ingest(SHORT),
     "ingest_rejects": ingest_rejects,
+    "ingest_state_ultrashort": _ingest_state(ULTRA),
+    "ingest_state_short": _ingest_state(SHORT),
     "snapshot_ultra": _snapshot(ULTRA),
     "snapshot_short": _snapshot(SHORT),
     "snapshot_store": snapshot_store,
-    "rollup_daily": rollup_daily,
-    "rollup_monthly": rollup_monthly,
-    "rollup_yearly": rollup_yearly,
+    **{f"rollup_{level}_{feed}".lower(): _rollup(level, feed) for level in ("daily", "monthly", "yearly") for feed in (NOW, ULTRA, SHORT)},
     "filename_dates": filename_dates,
     "map_tier_features": map_tier_features,
     "cities_without_tier": cities_without_tier,

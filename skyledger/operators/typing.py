@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from skyledger.constants import FLOAT_CATEGORIES, INT_CATEGORIES
 
 REJECTED = "rejected_fields"
+# Whole numbers that every later type of these fields holds; fixed-point fields have one decimal.
+LIMITS = {"double": 999.9, "bigint": 2_147_483_647}
 
 
 def cast_numbers(
@@ -17,14 +19,16 @@ def cast_numbers(
 ) -> DataFrame:
     """Cast the number columns and list, per row, those that did not convert.
 
-    A missing value counts as not convertible. ``checks`` adds fields with a
-    condition of their own. With ``strict`` the first bad row fails the job, as
+    A missing value, a value that is no number (NaN) and one beyond the types of
+    the latest state count as not convertible, so a row that is taken in can be
+    stored everywhere. ``checks`` adds fields with a condition of their own. With ``strict`` the first bad row fails the job, as
     a load without a quarantine would.
     """
     types = {c: "double" for c in FLOAT_CATEGORIES} | {c: "bigint" for c in INT_CATEGORIES}
     numbers = [c for c in columns if c in types]
     typed = {c: F.trim(c).try_cast(types[c]) for c in numbers}
-    wrong = {c: value.isNull() for c, value in typed.items()} | {c: ~good for c, good in checks.items()}
+    in_range = {c: F.coalesce(F.abs(value) <= LIMITS[types[c]], F.lit(False)) for c, value in typed.items()}
+    wrong = {c: ~good for c, good in in_range.items()} | {c: ~good for c, good in checks.items()}
     bad = F.array_compact(F.array(*[F.when(condition, F.lit(c)) for c, condition in wrong.items()]))
     if strict:
         message = F.concat(F.lit("unusable: "), F.array_join(bad, ","))

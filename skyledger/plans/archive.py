@@ -25,17 +25,15 @@ def daily_rollup(
     mode: str = "overwrite",
     compacted: bool | None = None,
     missing_ok: bool = False,
-    redelivered: bool = False,
 ) -> None:
     """Move the issues of one or more days into ``year/month/day`` partitions.
 
-    With ``redelivered``, rows that came in more than one batch are reduced to
-    the latest one first.
+    Rows that came in more than one batch are reduced to the latest one first,
+    so an issue that is delivered again replaces the earlier delivery.
     """
     read = zones.read_raw_files if flat_files else zones.read_raw
     rows = read(spark, raw_root, feed, start, end, missing_ok)
-    if redelivered:
-        rows = keep_last(rows, RAW_KEY[feed], [F.col("batch"), F.struct(*rows.columns)])
+    rows = keep_last(rows, RAW_KEY[feed], [F.col("batch"), F.struct(*rows.columns)])
     dated = zones.with_issue_date(rows).drop("issue", "batch")
     if compacted is None:
         # hourly nowcast files are tiny, and many days at once would leave
@@ -46,21 +44,22 @@ def daily_rollup(
 
 def monthly_rollup(
     spark: SparkSession, feed: str, daily_root: str, monthly_root: str, year: int, month: int,
-    *, mode: str = "overwrite",
+    *, mode: str = "overwrite", missing_ok: bool = False,
 ) -> None:
     """Rewrite one month by ``year/month``; ``day`` becomes a data column.
 
     A copy of pruned folders: no shuffle, and the scan packs small files into
     full splits, each written as one file.
     """
-    rows = zones.read_zone(spark, daily_root, feed, year, month)
+    rows = zones.checked(zones.read_zone(spark, daily_root, feed, year, month), f"{daily_root} for {year}-{month:02}", missing_ok)
     zones.write_zone(rows, monthly_root, ["year", "month"], mode)
 
 
 def yearly_rollup(
-    spark: SparkSession, feed: str, monthly_root: str, yearly_root: str, year: int, *, mode: str = "overwrite",
+    spark: SparkSession, feed: str, monthly_root: str, yearly_root: str, year: int,
+    *, mode: str = "overwrite", missing_ok: bool = False,
 ) -> None:
     """Rewrite one year by ``year``; ``month`` and ``day`` become data columns."""
-    rows = zones.read_zone(spark, monthly_root, feed, year)
+    rows = zones.checked(zones.read_zone(spark, monthly_root, feed, year), f"{monthly_root} for {year}", missing_ok)
     zones.write_zone(rows, yearly_root, ["year"], mode)
 

@@ -30,6 +30,10 @@ def _finish(df: DataFrame, feed: str, strict: bool) -> DataFrame:
     checks = {"city": F.col("known_region"), "basetime": clock.is_stamp12(F.col("basetime"))}
     if feed == SHORT:
         checks["fcstdate"] = clock.is_stamp8(F.col("fcstdate"))
+    if feed == ULTRA:
+        checks["crawled_at"] = F.col("called").isNotNull()
+    if feed != NOW:  # codes are numbers in the latest state; none at all is allowed
+        checks |= {c: F.col(c).isNull() | F.trim(c).try_cast("int").isNotNull() for c in ("PTY", "SKY")}
     return cast_numbers(df, CATEGORIES[feed], checks, strict).select(*RAW[feed].names, REJECTED)
 
 
@@ -56,7 +60,8 @@ def parse_ultrashort(
     """Up to seven rows per document: the full hours after the issue.
 
     Items are matched by hour alone. The icon folder follows the time of the
-    call (``crawled_at``, else ``as_of``), not the forecast time.
+    call (``crawled_at``, else ``as_of``), not the forecast time. A row without
+    either is set aside.
     """
     hour = clock.base_hour(F.col("basetime")).try_cast("int")
     groups = F.filter(
@@ -73,8 +78,8 @@ def parse_ultrashort(
     wide = _wide(rows, ULTRA, F.col("items"), "fcstValue")
     wide = wide.withColumn("RN1", precipitation.norm_rain(F.col("RN1")))
     key = icons.weather_key_ultra(F.col("PTY"), F.col("SKY"), F.col("LGT"), F.col("RN1"))
-    called = F.coalesce("crawled_at", clock.wall_clock(as_of))
-    folder = F.when(clock.is_daytime(called), F.lit("day")).otherwise(F.lit("night"))
+    wide = wide.withColumn("called", F.coalesce("crawled_at", clock.wall_clock(as_of)))
+    folder = F.when(clock.is_daytime(F.col("called")), F.lit("day")).otherwise(F.lit("night"))
     with_icon = attach_icon(attach_region(wide, regions), icon_dim, key, folder)
     return _finish(with_icon, ULTRA, strict)
 

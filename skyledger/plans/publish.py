@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 
 from skyledger.constants import DATE_GROUPS, LAYOUTS, TTL_SHORT, TTL_ULTRA
 from skyledger.functions.clock import wall_clock
-from skyledger.functions.geo import collection_json, feature_json
+from skyledger.functions.geo import feature_json
 from skyledger.plans.views import SHORT_VIEWS, ULTRA_VIEWS
+from skyledger.schemas import DOCUMENT
 from skyledger.sources.dimensions import inline_table
-from skyledger.sources.documents import EMPTY, cache_key, write_documents
-
-# Features per document. A view has one feature per city, so a document of all
-# cities is far below; a larger set becomes several complete documents.
-PART_SIZE = 20_000
+from skyledger.sources.documents import CLOSING, EMPTY, FIRST, OPENING, OTHER, cache_key, write_documents
 
 Views = Mapping[str, Callable[[DataFrame], DataFrame]]
 
@@ -73,52 +70,38 @@ def feature_counts(features: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def documents(features: DataFrame, keys: DataFrame, as_of: datetime, part_size: int = PART_SIZE) -> DataFrame:
-    """One feature collection per key; more than ``part_size`` features are split.
+def documents(features: DataFrame, keys: DataFrame, as_of: datetime) -> DataFrame:
+    """One feature collection per key, as lines ``(cache_key, section, text)``.
 
-    The split keeps every feature: a key of n features becomes
-    ceil(n / part_size) complete collections, so no task gathers an unbounded
-    group. A key without features still gets its (empty) document.
+    The lines of a key in the order of section and text are its document: the
+    opening, the least feature, every other feature after a comma, the closing.
+    No task holds a whole document, whatever its size. Equal features share a
+    line. A key without features gets the opening and the closing line.
     """
-    # At most one row per published key (twenty keys exist), hence the broadcast.
-    split = F.broadcast(
-        feature_counts(features, keys).withColumn(
-            "parts", F.greatest(F.lit(1), F.ceil(F.col("features") / part_size)).cast("int")
-        )
-    )
-    placed = features.join(split.select("cache_key", "parts"), "cache_key").withColumn(
-        "part", F.pmod(F.xxhash64("feature"), F.col("parts")).cast("int")
+    counted = features.groupBy("cache_key", "feature").agg(F.count("*").cast("int").alias("n"))
+    least = counted.groupBy("cache_key").agg(F.min("feature").alias("least"))
+    first, more = F.col("feature") == F.col("least"), F.concat(F.lit(","), "feature")
+    body = counted.join(least, "cache_key").select(
+        "cache_key",
+        F.when(first, FIRST).otherwise(OTHER).alias("section"),
+        F.when(first, F.concat("feature", F.repeat(more, F.col("n") - 1))).otherwise(F.repeat(more, F.col("n"))).alias("text"),
     )
-    gathered = placed.groupBy("cache_key", "part").agg(
-        F.count("*").alias("in_part"), collection_json(F.array_sort(F.collect_list("feature"))).alias("geojson")
+    frame = F.array(
+        F.struct(F.lit(OPENING).alias("section"), F.lit(EMPTY[:-2]).alias("text")),
+        F.struct(F.lit(CLOSING).alias("section"), F.lit(EMPTY[-2:]).alias("text")),
     )
-    slots = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lines = body.unionByName(keys.select("cache_key", F.inline(frame)))
     start = wall_clock(as_of)
-    return slots.join(gathered, ["cache_key", "part"], "left").select(
-        "cache_key",
-        "part",
-        "parts",
-        F.coalesce("in_part", F.lit(0).cast("bigint")).alias("features"),
-        F.coalesce("geojson", F.lit(EMPTY)).alias("geojson"),
-        "ttl_seconds",
-        (start + F.make_dt_interval(secs=F.col("ttl_seconds").cast("decimal(18,6)"))).alias("expires_at"),
-    )
-
-
-def _publish(features: DataFrame, keys: DataFrame, root: str, as_of: datetime) -> None:
-    # counted and gathered: keep the small result so the views run once
-    kept = features.persist()
-    try:
-        write_documents(documents(kept, keys, as_of), root)
-    finally:
-        kept.unpersist()
+    ends = (start + F.make_dt_interval(secs=F.col("ttl_seconds").cast("decimal(18,6)"))).alias("expires_at")
+    return lines.join(keys.select("cache_key", "ttl_seconds", ends), "cache_key").select(*DOCUMENT.names)
 
 
 def publish_ultrashort(rows: DataFrame, root: str, as_of: datetime) -> None:
     """Replace the four ``ultrashort:<layout>`` documents."""
-    _publish(ultrashort_features(rows), ultrashort_keys(rows.sparkSession), root, as_of)
+    write_documents(documents(ultrashort_features(rows), ultrashort_keys(rows.sparkSession), as_of), root)
 
 
 def publish_short(rows: DataFrame, root: str, as_of: datetime) -> None:
     """Replace the sixteen ``short:<group>:<layout>`` documents."""
-    _publish(short_features(rows, as_of.date()), short_keys(rows.sparkSession, as_of.date()), root, as_of)
+    keys = short_keys(rows.sparkSession, as_of.date())
+    write_documents(documents(short_features(rows, as_of.date()), keys, as_of), root)

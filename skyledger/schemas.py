@@ -103,10 +103,8 @@ SNAPSHOT_KEY = {
 RAW_KEY = {NOW: ("city", "basetime"), **SNAPSHOT_KEY}
 
 DOCUMENT = struct(
-    part=INT,
-    parts=INT,
-    features=BIGINT,
-    geojson=STRING,
+    section=INT,
+    text=STRING,
     ttl_seconds=INT,
     expires_at=WALL_CLOCK,
     cache_key=STRING,

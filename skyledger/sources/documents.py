@@ -11,6 +11,8 @@ from skyledger.constants import DATE_GROUPS, LAYOUTS
 from skyledger.functions.clock import wall_clock
 from skyledger.schemas import DOCUMENT
 
+# Lines of a document by section, then text.
+OPENING, FIRST, OTHER, CLOSING = range(4)
 EMPTY = '{"type":"FeatureCollection","features":[]}'
 
 
@@ -29,6 +31,8 @@ def write_documents(docs: DataFrame, root: str) -> None:
     """Replace the documents of the keys in ``docs``; other keys stay."""
     (
         docs.select(*DOCUMENT.names)
+        .repartitionByRange("cache_key", "section", "text")
+        .sortWithinPartitions("cache_key", "section", "text")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("cache_key")
@@ -41,13 +45,14 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_geojson(docs: DataFrame, layout: str, group: str | None, as_of: datetime) -> DataFrame:
-    """Document of one key: (cache_key, part, geojson).
+    """Document of one key as lines (cache_key, section, text), in order.
 
     A key that is missing or has run out gives an empty collection. The key
     prunes the store to one folder.
     """
     key = cache_key(layout, group)
-    return serve(docs, docs.sparkSession.range(1).select(F.lit(key).alias("cache_key")), as_of)
+    lines = serve(docs, docs.sparkSession.range(1).select(F.lit(key).alias("cache_key")), as_of)
+    return lines.orderBy("section", "text")
 
 
 def serve(docs: DataFrame, keys: DataFrame, as_of: datetime) -> DataFrame:
@@ -56,6 +61,6 @@ def serve(docs: DataFrame, keys: DataFrame, as_of: datetime) -> DataFrame:
     found = keys.join(valid, "cache_key", "left")
     return found.select(
         "cache_key",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("geojson", F.lit(EMPTY)).alias("geojson"),
+        F.coalesce("section", F.lit(OPENING)).alias("section"),
+        F.coalesce("text", F.lit(EMPTY)).alias("text"),
     )

@@ -23,8 +23,8 @@ from skyledger.schemas import SNAPSHOT, SNAPSHOT_KEY
 _LOG = "seq BIGINT, version STRING, issue STRING"
 
 
-def conform(df: DataFrame, feed: str) -> DataFrame:
-    """Columns and types of the latest-state table, with the point of lat/lng."""
+def conform(df: DataFrame, feed: str, *keep: str) -> DataFrame:
+    """Columns and types of the latest-state table, with the point of lat/lng, and the columns ``keep``."""
     given = df.withColumn("geom", make_point(F.col("lng"), F.col("lat")))
 
     def typed(name: str, wanted: T.DataType) -> Column:
@@ -33,7 +33,7 @@ def conform(df: DataFrame, feed: str) -> DataFrame:
             return F.col(name).try_cast(wanted)
         return F.col(name).cast(wanted)
 
-    return given.select(*[typed(f.name, f.dataType).alias(f.name) for f in SNAPSHOT[feed]])
+    return given.select(*[typed(f.name, f.dataType).alias(f.name) for f in SNAPSHOT[feed]], *keep)
 
 
 class KeyViolation(ValueError):
@@ -85,11 +85,18 @@ class SnapshotStore:
         """
         if on_dup not in ("fail", "last"):
             raise ValueError(f"unknown duplicate rule: {on_dup}")
-        rows = keep_last(df, self.key, order or []) if on_dup == "last" else df
+        if on_dup == "last" and not order:
+            raise ValueError("keeping the last row needs an order")
+        rows = keep_last(df, self.key, order) if on_dup == "last" else df
         version = uuid.uuid4().hex
         conform(rows, self.feed).write.parquet(f"{self.root}/versions/{version}")
-        issue = self._check(version, unique=on_dup == "last")
+        try:
+            issue = self._check(version, unique=on_dup == "last")
+        except KeyViolation:
+            self._delete([version])
+            raise
         if issue is None:
+            self._delete([version])
             return False
         now = self.entry()
         self.spark.range(1).select(
@@ -131,21 +138,39 @@ class SnapshotStore:
         if newest is None or (now is not None and newest < now.issue):
             return False
         rows = df.where(F.col("basetime") == newest)
+        # both sides get the types of the state first: a union of text and number would cast the text strictly
+        extra = [c for c in rows.columns if c not in SNAPSHOT[self.feed].names]
+        rows = keep_last(rows, self.key, order)
+        rows = conform(rows, self.feed, *extra)
         if now is not None and newest == now.issue:
-            arrived = rows.select("*", F.lit(1).alias("_arrival"))
-            held = self._version(now.version).drop("geom").withColumn("_arrival", F.lit(0))
-            rows = held.unionByName(arrived, allowMissingColumns=True)
-            order = [F.col("_arrival"), *order]
-        return self.replace(rows, on_dup="last", order=order)
+            arrived = rows.withColumn("_arrival", F.lit(1))
+            held = self._version(now.version).withColumn("_arrival", F.lit(0))
+            rows = keep_last(held.unionByName(arrived, allowMissingColumns=True), self.key, [F.col("_arrival")])
+        done = self.replace(rows)
+        if done:
+            self.expire()
+        return done
 
     def expire(self, keep: int = 2) -> int:
-        """Delete all but the ``keep`` newest versions; returns how many."""
+        """Delete all but the ``keep`` newest versions, and the log rows of the others; returns how many."""
         log = self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
-        kept = {row["version"] for row in log.orderBy(F.desc("seq")).limit(keep).collect()}
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
-        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        old = [status.getPath() for status in fs.listStatus(folder) if status.getPath().getName() not in kept]
-        for path in old:
-            fs.delete(path, True)
+        rows = log.orderBy(F.desc("seq")).limit(keep).collect()
+        kept = {row["version"] for row in rows}
+        fs, folder = self._files("versions")
+        old = [s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName() not in kept]
+        self._delete(old)
+        # one small file a version; those of kept versions are the newest
+        fs, folder = self._files("log")
+        parts = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+        for status in sorted(parts, key=lambda s: s.getModificationTime())[: -8 * keep]:
+            fs.delete(status.getPath(), False)
         return len(old)
+
+    def _files(self, name: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+    def _delete(self, versions: list[str]) -> None:
+        fs, folder = self._files("versions")
+        for version in versions:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, version), True)

@@ -24,7 +24,7 @@ def _plus(feed: str, kind: T.DataType, *columns: str) -> T.StructType:
     return T.StructType([*RAW[feed].fields, *[T.StructField(c, kind) for c in columns]])
 
 
-def _checked(df: DataFrame, what: str, missing_ok: bool) -> DataFrame:
+def checked(df: DataFrame, what: str, missing_ok: bool) -> DataFrame:
     if not missing_ok and df.isEmpty():
         raise FileNotFoundError(f"no rows in {what}")
     return df
@@ -74,7 +74,7 @@ def read_raw(spark: SparkSession, root: str, feed: str, start: date, end: date |
     days = ",".join(_days(start, end or start))
     schema = _plus(feed, T.StringType(), "issue_date", "issue").add("batch", T.LongType())
     df = _read_folders(spark, root, f"issue_date={{{days}}}", schema)
-    return _checked(df, f"{root} for {days}", missing_ok).drop("issue_date")
+    return checked(df, f"{root} for {days}", missing_ok).drop("issue_date")
 
 
 def read_raw_files(spark: SparkSession, root: str, feed: str, start: date, end: date | None = None,
@@ -83,7 +83,7 @@ def read_raw_files(spark: SparkSession, root: str, feed: str, start: date, end:
     end = end or start
     pattern = "{" + ",".join(_days(start, end)) + "}*.parquet"
     df = spark.read.schema(RAW[feed]).option("pathGlobFilter", pattern).parquet(root)
-    df = _checked(df, f"{root}/{pattern}", missing_ok)
+    df = checked(df, f"{root}/{pattern}", missing_ok)
     issue = issue_of_file(F.col("_metadata.file_name"))
     return df.withColumn("issue", issue).withColumn("batch", F.lit(0).cast("bigint"))
 
@@ -127,6 +127,14 @@ def write_zone(df: DataFrame, root: str, partitions: Sequence[str], mode: str =
     writer.parquet(root)
 
 
+def read_days(spark: SparkSession, root: str, feed: str, start: date, end: date) -> DataFrame:
+    """Rows of some days of the daily zone. Only the folders of these days are listed."""
+    schema = _plus(feed, T.IntegerType(), "year", "month", "day")
+    days = [start + timedelta(days=n) for n in range((end - start).days + 1)]
+    folders = ",".join(f"year={d.year}/month={d.month}/day={d.day}" for d in days)
+    return _read_folders(spark, root, f"{{{folders}}}", schema)
+
+
 def read_zone(spark: SparkSession, root: str, feed: str, year: int | None = None,
               month: int | None = None) -> DataFrame:
     """Rows of a zone; a year limits which folders are listed, a month which are read."""

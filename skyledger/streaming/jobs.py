@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
@@ -37,14 +38,15 @@ def ingest_stream(
     *,
     raw_root: str,
     checkpoint: str,
+    rejects_root: str,
     store: SnapshotStore | None = None,
-    rejects_root: str | None = None,
     as_of: datetime | None = None,
 ) -> StreamingQuery:
     """Landed documents to the raw zone and, if given, to the latest state.
 
     A replayed batch rewrites its own part of each issue and merges the same
-    keys, so a restart after any failure leaves one copy of every row.
+    keys, so a restart after any failure leaves one copy of every row. Rows that
+    cannot be used, and documents that cannot be read, go to ``rejects_root``.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -57,8 +59,7 @@ def ingest_stream(
                     latest = latest_rows(good, feed)
                     # copies within one batch: any order will do, but always the same
                     store.update(latest, [F.struct(*latest.columns)])
-            if rejects_root is not None:
-                rejected(rows).write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
+            rejected(rows).write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
         finally:
             rows.unpersist()
 
@@ -78,11 +79,32 @@ def state_stream(rows: DataFrame, store: SnapshotStore, order: Sequence[Column],
     return run_available(rows, handle, checkpoint)
 
 
-def drop_redelivered(rows: DataFrame, key: Sequence[str], ts: str, delay: str = "2 hours") -> DataFrame:
-    """First copy of each key within the watermark delay; state older than it is freed.
+def first_copies(
+    rows: DataFrame, key: Sequence[str], partition: str, root: str, checkpoint: str
+) -> StreamingQuery:
+    """Write the rows of a stream whose key has not come before, by the folders of ``partition``.
 
-    Rows that arrive later than ``delay`` behind the newest one are given up by
-    the watermark, so choose it above the longest expected delay. Where none may
-    be lost, ingest without it and let the daily roll-up reduce re-deliveries.
+    A batch is compared with what the folders of its own partition values hold,
+    so nothing depends on the order or the delay of arrival, and no row is given
+    up. A batch has a folder of its own, and a replayed one is compared with the
+    batches before it only, so a restart writes the same rows again.
     """
-    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+    schema = rows.schema
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        once = batch.dropDuplicates(list(key))
+        spark = batch.sparkSession
+        if batch_id:
+            held = spark.read.schema(f"{schema_text(schema)}, batch BIGINT").parquet(root).where(F.col("batch") < batch_id)
+            # prunes the folders to those of this batch's values
+            here = once.select(partition).distinct()
+            once = once.join(held.join(here, partition, "left_semi").select(*key), list(key), "left_anti")
+        once = once.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        writer = once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(partition, "batch").parquet(root)
+
+    return run_available(rows, handle, checkpoint)
+
+
+def schema_text(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

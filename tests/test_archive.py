@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.errors import PySparkException
@@ -106,12 +106,19 @@ def test_file_without_issue_time_fails(spark):
 def test_redelivered_rows_are_reduced_to_the_last(spark, root):
     zones.write_raw(raw_rows(spark, NOW, temp=1.0), f"{root}/raw", batch=1)
     zones.write_raw(raw_rows(spark, NOW, temp=2.0, cities=("a",)), f"{root}/raw", batch=2)
-    archive.daily_rollup(spark, NOW, f"{root}/raw", f"{root}/daily", date(2023, 12, 31), date(2024, 1, 2), redelivered=True)
+    archive.daily_rollup(spark, NOW, f"{root}/raw", f"{root}/daily", date(2023, 12, 31), date(2024, 1, 2))
     daily = zones.read_zone(spark, f"{root}/daily", NOW)
     assert daily.count() == 8
     assert {(r["city"], r["T1H"]) for r in daily.collect()} == {("a", 2.0), ("b", 1.0)}
 
 
+def test_missing_months_and_years_are_errors(spark, root):
+    with pytest.raises(FileNotFoundError):
+        archive.monthly_rollup(spark, NOW, f"{root}/none", f"{root}/monthly", 2024, 1)
+    with pytest.raises(FileNotFoundError):
+        archive.yearly_rollup(spark, NOW, f"{root}/none", f"{root}/yearly", 2024)
+
+
 def test_weekly_window_and_sentinel(spark, root):
     issues = [datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 10), datetime(2024, 1, 1, 11), datetime(2024, 1, 8, 9)]
     rows = raw_rows(spark, NOW, issues, cities=("b", "a"))
@@ -127,6 +134,10 @@ def test_weekly_window_and_sentinel(spark, root):
     later = [tuple(r) for r in weekly.weekly_city_temp(daily, datetime(2024, 1, 8, 9, 0, 1)).collect()]
     assert [(c, d) for c, d, *_ in later] == [("a", date(2024, 1, 8)), ("b", date(2024, 1, 8))]
     assert weekly.weekly_city_temp(rows.unionByName(extra), as_of).count() == 4
+    # a rerun over an archive that has gone on, from the eight folders of its span
+    week = weekly.read_week(spark, f"{root}/daily", as_of - timedelta(days=1))
+    assert [d for _, d, *_ in weekly.weekly_city_temp(week, as_of - timedelta(days=1)).collect()] == [date(2024, 1, 1)] * 2
+    assert all("month=1/day=" in f for f in week.inputFiles())
     for fmt in ("parquet", "json"):
         weekly.write_weekly(weekly.weekly_city_temp(daily, as_of), f"{root}/summary-{fmt}", fmt)
         weekly.write_weekly(weekly.weekly_city_temp(daily, as_of), f"{root}/summary-{fmt}", fmt)

@@ -34,7 +34,7 @@ def test_from_landing_to_the_archive_and_documents(spark, root, tmp_path, feed):
         "서울": {"province": "p", "lat": 37.5, "lng": 127.0}, "부산": {"province": "p", "lat": 35.1, "lng": 129.0}}), encoding="utf-8")
     state = [] if feed == NOW else ["--state", f"{root}/state"]
     jobs.main(["ingest", "--feed", feed, "--as-of", "2024-01-31T05:50", "--landing", f"{root}/landing", "--regions",
-               f"{root}/region.json", "--raw", f"{root}/raw", "--checkpoint", f"{root}/checkpoint", *state])
+               f"{root}/region.json", "--raw", f"{root}/raw", "--rejects", f"{root}/rejects", "--checkpoint", f"{root}/checkpoint", *state])
     jobs.main(["daily", "--feed", feed, "--as-of", "2024-02-01", "--source", f"{root}/raw", "--target", f"{root}/daily"])
     jobs.main(["monthly", "--feed", feed, "--as-of", "2024-02-01", "--source", f"{root}/daily", "--target", f"{root}/monthly"])
     jobs.main(["yearly", "--feed", feed, "--as-of", "2025-01-01", "--source", f"{root}/monthly", "--target", f"{root}/yearly"])
@@ -46,8 +46,8 @@ def test_from_landing_to_the_archive_and_documents(spark, root, tmp_path, feed):
         return
     command, group = {ULTRA: ("publish-ultrashort", None), SHORT: ("publish-short", "twodaysafter")}[feed]
     jobs.main([command, "--as-of", "2024-01-31T06:00", "--state", f"{root}/state", "--target", f"{root}/documents"])
-    found = read_geojson(read_documents(spark, f"{root}/documents"), "cond", group, datetime(2024, 1, 31, 7, 0)).first()
-    assert {f["properties"]["도시"] for f in json.loads(found["geojson"])["features"]} == {"서울", "부산"}
+    found = read_geojson(read_documents(spark, f"{root}/documents"), "cond", group, datetime(2024, 1, 31, 7, 0)).collect()
+    assert {f["properties"]["도시"] for f in json.loads("".join(r["text"] for r in found))["features"]} == {"서울", "부산"}
 
 
 def test_a_missing_day_is_an_error(spark, root):

@@ -71,6 +71,25 @@ def test_update_by_issue(spark, store):
     assert {c for c, *_ in held(store)} == {"c"}
 
 
+def test_updates_keep_few_versions(spark, store, tmp_path):
+    for hour in range(4):
+        assert store.update(rows(spark, f"20240101{hour:02d}30", "a"), [F.col("REH")])
+    assert len(os.listdir(tmp_path / "state/versions")) == 2
+    with pytest.raises(KeyViolation):
+        store.replace(rows(spark, "202401010930", "aa"))
+    assert not store.replace(rows(spark, "202401010930", "a").where("false"))
+    assert len(os.listdir(tmp_path / "state/versions")) == 2
+    with pytest.raises(ValueError):
+        store.replace(rows(spark, "202401010930", "a"), on_dup="last")
+
+
+def test_a_text_code_in_a_second_piece_does_not_stop_the_state(spark, store):
+    first = rows(spark, "202401010130", "a").withColumn("PTY", F.lit("1"))
+    second = rows(spark, "202401010130", "b").withColumn("PTY", F.lit("y"))
+    assert store.update(first, [F.col("REH")]) and store.update(second, [F.col("REH")])
+    assert {(r["city"], r["PTY"]) for r in store.read().collect()} == {("a", 1), ("b", None)}
+
+
 def test_expire_keeps_the_newest(spark, store, tmp_path):
     for hour in range(4):
         store.replace(rows(spark, f"20240101{hour:02d}30", "a"))

@@ -71,7 +71,7 @@ def test_latest_state_of_a_stream(spark, root, landing, regions):
     def run():
         jobs.ingest_stream(
             stream_landing(spark, landing.path), ULTRA, regions, default_icons(spark),
-            raw_root=f"{root}/raw", checkpoint=f"{root}/checkpoint", store=store)
+            raw_root=f"{root}/raw", rejects_root=f"{root}/rejects", checkpoint=f"{root}/checkpoint", store=store)
         return sorted((r["city"], r["basetime"], float(r["T1H"])) for r in store.read().collect())
 
     landing("1.json", ultra_doc("a", "202401010130", "1"), ultra_doc("b", "202401010130", "1"))
@@ -92,16 +92,41 @@ def test_conflicting_copies_in_one_batch_settle_alike(spark, root, landing, regi
         store = SnapshotStore(spark, f"{root}/state{n}", ULTRA)
         jobs.ingest_stream(
             stream_landing(spark, landing.path), ULTRA, regions, default_icons(spark),
-            raw_root=f"{root}/raw{n}", checkpoint=f"{root}/checkpoint{n}", store=store)
+            raw_root=f"{root}/raw{n}", rejects_root=f"{root}/rejects{n}", checkpoint=f"{root}/checkpoint{n}", store=store)
         assert [float(r["T1H"]) for r in store.read().collect()] == [3.0]
 
 
-def test_redelivered_rows_leave_once(spark, root):
-    schema = "id int, ts timestamp"
-    spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 00:00:00'), (1, timestamp'2024-01-01 00:30:00'),"
-              " (2, timestamp'2024-01-01 00:10:00') AS t(id, ts)").write.parquet(f"{root}/in")
-    once = jobs.drop_redelivered(spark.readStream.schema(schema).parquet(f"{root}/in"), ["id"], "ts")
-    query = (once.writeStream.format("parquet").option("path", f"{root}/out")
-             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
-    assert sorted(r["id"] for r in spark.read.parquet(f"{root}/out").collect()) == [1, 2]
+def test_bad_values_are_set_aside_and_the_next_issue_loads(spark, root, landing, regions):
+    store = SnapshotStore(spark, f"{root}/state", ULTRA)
+
+    def run():
+        jobs.ingest_stream(
+            stream_landing(spark, landing.path), ULTRA, regions, default_icons(spark),
+            raw_root=f"{root}/raw", rejects_root=f"{root}/rejects", checkpoint=f"{root}/checkpoint", store=store)
+
+    def bad(**values):
+        return doc("a", "202401010130", forecast("20240101", "0200", **{**ULTRA_VALUES, **values}), "2024-01-01T12:00:00")
+
+    landing("1.json", ultra_doc("a", "202401010130", "1"))
+    run()
+    landing("2.json", bad(PTY="y"), bad(T1H="12345"), bad(T1H="NaN"), bad(REH="99999999999"), ultra_doc("b", "202401010130", "2"))
+    run()
+    landing("3.json", doc("a", "202401010130", forecast("20240101", "0200", **ULTRA_VALUES), None))  # no time of the call
+    run()
+    landing("4.json", ultra_doc("b", "202401010230", "3"))
+    run()
+    rejects = spark.read.parquet(f"{root}/rejects")
+    assert sorted(r[0] for r in rejects.selectExpr("array_join(rejected_fields, ',')").collect()) == ["PTY", "REH", "T1H", "T1H", "crawled_at"]
+    assert zones.read_raw(spark, f"{root}/raw", ULTRA, date(2024, 1, 1)).count() == 3
+    assert [(r["city"], r["basetime"]) for r in store.read().collect()] == [("b", "202401010230")]
+
+
+def test_first_copies_in_any_order(spark, root):
+    """Copies and late rows over several batches: each key once, none lost."""
+    batches = [[(1, "20240101"), (2, "20240103")], [(1, "20240101"), (3, "20240101")], [(4, "20231231"), (3, "20240101"), (2, "20240103")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "id int, day string").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema("id int, day string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    for _ in range(2):
+        jobs.first_copies(stream, ["id"], "day", f"{root}/out", f"{root}/checkpoint")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{root}/out").collect()) == [1, 2, 3, 4]
