@@ -58,8 +58,8 @@ def _xor(array: Column) -> Column:
 
 def _lines(docs: DataFrame, id: str, text: str, exact: int) -> DataFrame:
     """Lines of at least `exact` words: document, place, 128-bit hash, number of words, half keys."""
-    rows = docs.where(f"`{id}` is not null").select(F.col(id).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    rows = rows.withColumn("words", _words("line")).withColumn("n", F.size("words")).where(F.col("n") >= exact)
+    rows = docs.where(f"`{id}` is not null").select(F.col(id).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode_outer(F.split(text, "\n")).alias("place", "line"))
+    rows = rows.withColumn("words", _words("line")).withColumn("n", F.size("words")).where("line is not null").where(F.col("n") >= exact)
     hashes = [F.xxhash64("words").alias(LINE[0]), F.xxhash64(F.lit("second"), F.col("words")).alias(LINE[1])]
     return rows.select("doc", "body", "place", "n", *hashes, _halves(F.col("words"), F.col("n")).alias("halves"))
 
@@ -72,22 +72,33 @@ def _variants(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("both", F.zip_with("here", "moved", lambda a, b: a.bitwiseXOR(b)))
     count = F.ceil(F.col("n") / F.col("step")).cast("int")
     rows = rows.withColumn("blocks", F.transform(F.sequence(F.lit(0), count - 1), lambda b: _xor(F.slice("both", b * F.col("step") + 1, F.col("step")))))
-    rows = rows.withColumn("before", F.transform("blocks", lambda _, b: _xor(F.slice("blocks", F.lit(1), b))))
-    rows = rows.withColumn("whole", _xor(F.col("here"))).withColumn("shifted", _xor(F.col("moved")))
-
-    def less(i: Column) -> Column:
-        """The line without word i."""
-        block = F.floor(i / F.col("step")).cast("int")
-        head = F.get("before", block).bitwiseXOR(_xor(F.slice("both", block * F.col("step") + 1, i - block * F.col("step"))))
-        return head.bitwiseXOR(F.col("shifted")).bitwiseXOR(F.get("moved", i))
-
+    before = F.transform("blocks", lambda _, b: _xor(F.slice("blocks", F.lit(1), b)))
+    # A slice copies the array it is taken from, so within a block only the block is sliced.
+    heads = lambda block: F.transform(block, lambda _, k: _xor(F.slice(block, F.lit(1), k)))
+    cut = lambda b: F.array(F.slice("both", b * F.col("step") + 1, F.col("step")))
+    inside = F.flatten(F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.flatten(F.transform(cut(b), heads))))
     key = lambda kind, *parts: F.xxhash64(F.lit(kind), *parts)
     at = lambda a, kind: F.struct(a.alias("key"), F.lit(kind).alias("kind"))
-    replaced = F.transform("here", lambda h, i: at(key("place", "n", i, F.col("whole").bitwiseXOR(h)), "place"))
-    longer = F.array_distinct(F.transform("here", lambda _, i: at(key("line", F.col("n") - 1, less(i)), "longer")))
-    own = F.array(at(key("line", "n", "whole"), "own"))
-    keys = rows.withColumn("keys", F.concat(replaced, longer, own))
-    return keys.select("first", *LINE, F.inline("keys"))
+
+    def variants(line: Column) -> Column:
+        def less(i: Column) -> Column:
+            """The line without word i."""
+            block = F.floor(i / F.col("step")).cast("int")
+            head = F.get(line["before"], block).bitwiseXOR(F.get(line["inside"], i))
+            return head.bitwiseXOR(line["shifted"]).bitwiseXOR(F.get("moved", i))
+
+        replaced = F.transform("here", lambda h, i: at(key("place", "n", i, line["whole"].bitwiseXOR(h)), "place"))
+        # distinct over numbers: over structs it compares all pairs
+        shorter = F.array_distinct(F.transform("here", lambda _, i: key("line", F.col("n") - 1, less(i))))
+        longer = F.transform(shorter, lambda k: at(k, "longer"))
+        return F.concat(replaced, longer, F.array(at(key("line", "n", line["whole"]), "own")))
+
+    # An array of one element binds these values for all places; as plain columns
+    # the optimizer would move them into the functions and compute them for each.
+    line = F.struct(before.alias("before"), inside.alias("inside"), _xor(F.col("here")).alias("whole"), _xor(F.col("moved")).alias("shifted"))
+    keys = rows.withColumn("keys", F.flatten(F.transform(F.array(line), variants)))
+    # The outer form, as the optimizer would compute the keys once more to leave out rows without any.
+    return keys.select("first", F.inline_outer("keys"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -101,10 +112,11 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def _near(lines: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
     """Representatives with an earlier line one edit away."""
-    halves = stored(reps.select(*LINE, F.explode("halves").alias("half")), "halves")
+    halves = reps.select(*LINE, F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min(LINE[0]).alias("low"), F.max(LINE[0]).alias("high")).where("low != high").select("half")
-    able = halves.join(stored(shared, "shared"), "half", "left_semi").select(*LINE).distinct()
-    able = reps.drop("halves").join(stored(able, "able"), LINE, "left_semi")
+    # These lists grow with the corpus: sorted joins at every size.
+    able = halves.join(stored(shared, "shared").hint("merge"), "half", "left_semi").select(*LINE).distinct()
+    able = reps.drop("halves").join(stored(able, "able").hint("merge"), LINE, "left_semi")
     places = able.groupBy(F.col("first.doc").alias("doc"), F.col("first.body").alias("body")).agg(F.collect_list(F.struct("first.place", *LINE, "first")).alias("lines"))
     # Texts are sorted for this join at every size: the list of lines grows with the corpus.
     texts = docs.where(f"`{id}` is not null").select(F.col(id).alias("doc"), F.xxhash64(text).alias("body"), F.split(text, "\n").alias("all"))
@@ -116,12 +128,11 @@ def _near(lines: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))
     keys = variants.groupBy("key").agg(least("place").alias("place"), least("longer").alias("longer"), least("own").alias("own"), F.count("*").alias("size"))
     keys = stored(keys.where("size > 1").drop("size"), "keys")
-    joined = variants.join(keys, "key")
+    joined = variants.join(keys.hint("merge"), "key")
     hub = F.when(F.col("kind") == "place", F.col("place")).when(F.col("kind") == "longer", F.col("own")).otherwise(F.col("longer"))
-    pairs = joined.withColumn("hub", hub).where("hub < first").select(*LINE, "hub").distinct()
-    sides = found.select("words", "n", "first")
-    both = stored(pairs, "pairs").join(found.select(*LINE, F.col("words").alias("a"), F.col("n").alias("a_n")), LINE)
-    both = both.join(sides.select(F.col("first").alias("hub"), F.col("words").alias("b"), F.col("n").alias("b_n")), "hub")
+    pairs = joined.withColumn("hub", hub).where("hub < first").select("first", "hub").distinct()
+    both = stored(pairs, "pairs").join(found.select("first", *LINE, F.col("words").alias("a"), F.col("n").alias("a_n")), "first")
+    both = both.join(found.select(F.col("first").alias("hub"), F.col("words").alias("b"), F.col("n").alias("b_n")), "hub")
     swap = F.col("a_n") < F.col("b_n")
     long, short = (F.when(swap, F.col(x)).otherwise(F.col(y)) for x, y in (("b", "a"), ("a", "b")))
     return both.where(_one_edit(long, short)).select(*LINE).distinct()
@@ -134,7 +145,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", exac
     reps = stored(lines.groupBy(*LINE, "n", "halves").agg(F.min(order).alias("first"), F.max(order).alias("last")), "representatives")
     close = stored(_near(lines, reps.where(F.col("n") >= near), docs, id, text), "near")
     known = reps.join(close.withColumn("near", F.lit(True)), LINE, "left").where("near or first != last").select(*LINE, "first", "near")
-    gone = lines.select("doc", "body", "place", *LINE).join(stored(known, "known"), LINE).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "body", "place") > F.col("first")))
+    gone = lines.select("doc", "body", "place", *LINE).join(stored(known, "known").hint("merge"), LINE).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "body", "place") > F.col("first")))
     return stored(gone.groupBy("doc", "body").agg(F.sort_array(F.collect_set("place")).alias("places")), "gone")
 
 
