@@ -30,10 +30,13 @@ def details(df) -> str:
 def test_weekly_prunes_folders_columns_and_row_groups(spark, root):
     zones.write_raw(raw_rows(spark, NOW), f"{root}/raw")
     archive.daily_rollup(spark, NOW, f"{root}/raw", f"{root}/daily", date(2023, 12, 31), date(2024, 1, 2))
-    text = details(weekly.weekly_city_temp(zones.read_zone(spark, f"{root}/daily", NOW), datetime(2024, 1, 8)))
-    assert "GreaterThanOrEqual(basetime,202401010000)" in text
+    as_of = datetime(2024, 1, 8)
+    week = weekly.read_week(spark, f"{root}/daily", as_of)
+    text = details(weekly.weekly_city_temp(week, as_of))
+    assert "GreaterThanOrEqual(basetime,202401010000)" in text and "LessThanOrEqual(basetime,202401080000)" in text
     assert "ReadSchema: struct<city:string,basetime:string,T1H:double>" in text
-    assert ">= 20240101)" in text.split("PartitionFilters")[1].split("\n")[0]
+    # of the eight folders of the span those that are there; the day before is not listed
+    assert {f.split("/daily/")[1].rsplit("/", 1)[0] for f in week.inputFiles()} == {f"year=2024/month=1/day={d}" for d in (1, 2)}
     assert "RLIKE" not in text.split("(4) HashAggregate")[0]  # nothing is parsed row by row
 
 
