@@ -181,14 +181,15 @@ def fit(features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, epoc
     share = good.sum() / weight.sum()
     odds = np.log((np.bincount(index, np.repeat(good, counts), size) + SHRINK * share) / (good.sum() + SHRINK * share))
     odds -= np.log((np.bincount(index, np.repeat(bad, counts), size) + SHRINK * (1 - share)) / (bad.sum() + SHRINK * (1 - share)))
-    values = odds[index]
+    del features
+    values = odds[index].astype(np.float32)
     weight = weight / weight.sum()
     scale, bias = np.full(size, START), 0.0
     speed, spread = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, epochs + 1):
-        chance = 1 / (1 + np.exp(-(np.add.reduceat(scale[index] * values, first) + bias)))
+        chance = 1 / (1 + np.exp(-(np.add.reduceat(scale.astype(np.float32)[index] * values, first) + bias)))
         error = weight * (chance - target)
-        slope = np.append(np.bincount(index, np.repeat(error, counts) * values, size) + ridge / len(target) * (scale - START), error.sum())
+        slope = np.append(np.bincount(index, np.repeat(error.astype(np.float32), counts) * values, size) + ridge / len(target) * (scale - START), error.sum())
         speed = 0.9 * speed + 0.1 * slope
         spread = 0.99 * spread + 0.01 * slope**2
         move = 0.02 * (speed / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
@@ -247,10 +248,11 @@ def train(docs: DataFrame, labels: DataFrame | None, id: str = "doc_id", text: s
     texts = docs.select(F.col(id).alias("id"), text).join(chosen, "id").select("id", text, "pattern", "given")
     described = texts.mapInArrow(describe, f"id {kind}, pattern bigint, given int, features array<bigint>").dropDuplicates(["id"])
     table = described.toArrow().sort_by("id")
-    features = [np.asarray(x.values, dtype=np.int64) for x in table["features"]]
+    features = [np.asarray(x.values).astype(np.int32) for x in table["features"]]
     keys = zip(table["pattern"].to_pylist(), table["given"].to_pylist(), strict=True)
     target = np.array([good.get(k, 0.5) for k in keys])
     weight = np.where(table["given"].to_numpy() >= 0, 1.0, UNLABELLED_WEIGHT)
+    del table
     return fit(features, target, weight)
 
 

@@ -43,8 +43,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(steps)
 
 
-_POWERS = _powers(_BASE, 2 * BLOCK + 1)
-_BACK = _powers(_INVERSE, 2 * BLOCK + 1)
+_POWERS = _powers(_BASE, BLOCK + 1)
+_BACK = _powers(_INVERSE, BLOCK + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-ENTRIES = 1_000_000
+ENTRIES = 500_000
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
