@@ -8,17 +8,23 @@ power of their number), not by the corpus, so their counts over all documents
 reach the driver. The posteriors of the patterns label documents for a logistic
 scorer over hashed words and votes, which judges every document.
 
+The toxic labeller comes from the labels: the log-odds of each word, by language
+where the documents name one, among all labelled documents. It votes on documents
+with words that speak for toxic, and abstains on all others; its abstention is no
+evidence of any class.
+
 The scorer is fitted on at most about `sample` documents with a given label and
 as many without, chosen by a hash of their id: the bound is that parameter.
 Votes, counts, posteriors and scores cover all documents and whole texts.
 
 Defined results: a text without words, or NULL, is junk and not kept; labels of
 unknown documents or with NULLs are not used; with no labels the labellers
-decide alone; repeated rows are judged each; an empty table gives no rows.
+decide alone, and toxic documents are not told apart; repeated rows are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
-from skyledger.llm.text import ALPHANUMERIC, byte_slices, utf8, window_hashes, word_hashes, word_spans
+from skyledger.llm.text import ALPHANUMERIC, byte_slices, mix, utf8, window_hashes, word_hashes, word_spans
 
 GOOD, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
 CLASSES, VOTES = 3, 4
@@ -42,14 +48,16 @@ SHRINK = 20.0
 START = 0.2
 THRESHOLD = 0.35
 
-# Frequent function words of the four languages, and insults.
+# Words speak for toxic from these log-odds on, documents from this sum of them on.
+STRONG, EVIDENCE = 1.2, 3.0
+
+# Frequent function words of the four languages.
 STOP_WORDS = (
     "a an and are as at be by for from in is it of on or that the this to was with"  # en
     " als auf das dem den der des die ein eine für ist mit nicht sich und von zu"  # de
     " avec dans de du elle en est et il la le les ne pas pour que qui sur un une"  # fr
     " al como con del el es lo los las no para por se su una y"  # es
 ).split()
-INSULTS = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
 
 # The classes each labeller tells apart; it votes on documents of others as on good ones.
 LABELLERS: dict[str, tuple[int, ...]] = {
@@ -59,8 +67,9 @@ LABELLERS: dict[str, tuple[int, ...]] = {
     "repeats": (GOOD, JUNK),
     "upper_case": (GOOD, JUNK),
     "marks": (GOOD, JUNK),
-    "insults": (GOOD, TOXIC),
+    "toxic_words": (GOOD, TOXIC),
 }
+TOXIC_WORDS = list(LABELLERS).index("toxic_words")
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -68,7 +77,8 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return np.sort(word_hashes(data, *word_spans(data, offsets, ALPHANUMERIC)[:2]))
 
 
-_STOP, _INSULT = _hash_of(STOP_WORDS), _hash_of(INSULTS)
+_STOP = _hash_of(STOP_WORDS)
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.isin(np.arange(256), list(range(0x41, 0x5B)))
 _MARK = np.isin(np.arange(256), list(b".!?"))
@@ -83,8 +93,25 @@ def _vote(good: np.ndarray, bad: np.ndarray, kind: int = JUNK) -> np.ndarray:
     return np.where(bad, kind, np.where(good, GOOD, ABSTAIN)).astype(np.int8)
 
 
-def votes_and_features(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A row of votes for each text, and the distinct feature buckets of each: its words and its votes."""
+def _tongues(part: pa.RecordBatch, lang: str | None) -> np.ndarray:
+    """A number for the language of each row."""
+    if lang is None:
+        return np.zeros(part.num_rows, np.uint64)
+    coded = part.column(lang).cast(pa.string()).dictionary_encode()
+    names = [zlib.crc32(str(x).encode()) for x in coded.dictionary.to_pylist()] + [0]
+    return np.array(names, np.uint64)[coded.indices.fill_null(len(names) - 1).to_numpy()]
+
+
+def _by_tongue(hashes: np.ndarray, tongue: np.uint64) -> np.ndarray:
+    """Buckets of words of one language."""
+    return (mix(hashes ^ mix(np.array([tongue]))) >> _SHIFT).astype(np.int64)
+
+
+def votes_and_features(texts: pa.Array, tongues: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A row of votes for each text, and the distinct feature buckets of each: its words and its votes.
+
+    `toxic` has what the words of each bucket by language speak for toxic.
+    """
     data, offsets = utf8(texts)
     starts, ends, first = word_spans(data, offsets, ALPHANUMERIC)
     hashes = word_hashes(data, starts, ends)
@@ -94,8 +121,8 @@ def votes_and_features(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     upper = _sums(_UPPER[data], offsets) / np.maximum(np.diff(offsets), 1)
     marks = _sums(_MARK[data], offsets) / each
     stops = _sums(np.isin(hashes, _STOP), first) / each
-    insults = _sums(np.isin(hashes, _INSULT), first)
     own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    evidence = np.array([toxic[np.unique(_by_tongue(w, t))].sum() for w, t in zip(own, tongues, strict=True)])
     windows = window_hashes(hashes, 3)
     fresh = np.fromiter((len(np.unique(windows[a : max(a, b - 2)])) for a, b in zip(first[:-1], first[1:], strict=True)), np.int64, len(n))
     repeats = 1 - fresh / np.maximum(n - 2, 1)
@@ -108,13 +135,12 @@ def votes_and_features(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
             _vote(long & (repeats < 0.1), long & (repeats > 0.3)),
             _vote(long & (upper < 0.15), long & (upper > 0.4)),
             _vote(long & (marks > 0.02) & (marks < 0.4), long & (marks > 0.6)),
-            _vote((insults == 0) & (n > 0), (insults >= 2) | (100 * insults > n), TOXIC),
+            _vote(np.zeros(len(n), dtype=bool), evidence >= EVIDENCE, TOXIC),
         ],
         axis=1,
     )
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     named = np.arange(len(LABELLERS)) * VOTES + votes  # the last buckets are the votes
-    features = [np.concatenate((np.unique(w >> shift).astype(np.int64), BUCKETS + v)) for w, v in zip(own, named, strict=True)]
+    features = [np.concatenate((np.unique(w >> _SHIFT).astype(np.int64), BUCKETS + v)) for w, v in zip(own, named, strict=True)]
     return votes, features
 
 
@@ -138,7 +164,9 @@ def estimate(patterns: np.ndarray, given: np.ndarray, counts: np.ndarray, rounds
     fixed = given >= 0
     posterior = np.full((len(patterns), CLASSES), 1 / CLASSES)
     for _ in range(rounds):
-        log = np.log(share) + sum(np.log(table[k, :, patterns[:, k]]) for k in range(patterns.shape[1]))
+        log = np.log(share) + sum(
+            np.where((k == TOXIC_WORDS) & (patterns[:, k] == ABSTAIN)[:, None], 0.0, np.log(table[k, :, patterns[:, k]])) for k in range(patterns.shape[1])
+        )
         posterior = np.exp(log - log.max(axis=1, keepdims=True))
         posterior /= posterior.sum(axis=1, keepdims=True)
         posterior[fixed] = np.eye(CLASSES)[given[fixed]]
@@ -212,28 +240,80 @@ def _given(labels: DataFrame | None, votes: DataFrame, id: str) -> DataFrame:
     """Votes with the class that the labels give, or -1."""
     if labels is None:
         return votes.withColumn("given", F.lit(-1))
-    known = labels.where(f"`{id}` is not null and quality is not null and toxic is not null").groupBy(F.col(id).alias("id"))
-    known = known.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = _label_rows(labels, id)
     kind = F.when(F.col("quality") == 0, JUNK).when(F.col("toxic") == 1, TOXIC).otherwise(GOOD)
     return votes.join(known.select("id", kind.alias("given")), "id", "left").withColumn("given", F.coalesce("given", F.lit(-1)))
 
 
-def train(docs: DataFrame, labels: DataFrame | None, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray:
+def _label_rows(labels: DataFrame, id: str) -> DataFrame:
+    known = labels.where(f"`{id}` is not null and quality is not null and toxic is not null").groupBy(F.col(id).alias("id"))
+    return known.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: np.ndarray, all_clean: np.ndarray) -> np.ndarray:
+    """Shrunk log-odds of words that so many of all documents of a language have; 0 for words without evidence."""
+    share = all_toxic / np.maximum(all_toxic + all_clean, 1)
+    one, other = SHRINK * share + 1e-9, SHRINK * (1 - share) + 1e-9
+    return np.log((toxic + one) / (all_toxic + one)) - np.log((clean + other) / (all_clean + other))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame | None, id: str, text: str, lang: str | None) -> np.ndarray:
+    """For each bucket of words by language, its log-odds for toxic among all labelled documents if they are strong, else 0."""
+    out = np.zeros(BUCKETS, np.float32)
+    if labels is None:
+        return out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, text):
+                tongues, toxic = _tongues(part, lang), part.column("toxic").to_numpy(zero_copy_only=False)
+                data, offsets = utf8(part.column(text))
+                starts, ends, first = word_spans(data, offsets, ALPHANUMERIC)
+                hashes = word_hashes(data, starts, ends)
+                for tongue in np.unique(tongues):
+                    rows = np.flatnonzero(tongues == tongue)
+                    # the bucket -1 counts the documents
+                    found = [np.append(np.unique(_by_tongue(hashes[first[i] : first[i + 1]], tongue)), -1) for i in rows]
+                    words, at = np.unique(np.concatenate(found), return_inverse=True)
+                    bad = np.repeat(toxic[rows] == 1, list(map(len, found)))
+                    sums = [np.bincount(at, which, len(words)).astype(np.int64) for which in (bad, ~bad)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), tongue, np.int64)), pa.array(words), *map(pa.array, sums)], names=["tongue", "word", "toxic", "clean"])
+
+    names = [F.col(f"`{c}`") for c in dict.fromkeys([text, *([lang] if lang else [])])]
+    known = docs.select(F.col(f"`{id}`").alias("_id"), *names).join(_label_rows(labels, id).withColumnRenamed("id", "_id"), "_id").select(*names, "toxic")
+    counts = known.mapInArrow(count, "tongue bigint, word bigint, toxic bigint, clean bigint").groupBy("tongue", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = stored(counts, "toxic-words")
+    totals = {r.tongue: (r.toxic, r.clean) for r in counts.where("word = -1").collect()}  # a row for each language
+    # at most BUCKETS rows for each language, of words that more than one toxic document has
+    table = counts.where("word >= 0 and toxic > 1").orderBy("tongue", "word").toArrow()
+    if not table.num_rows:
+        return out
+    tongue, word, toxic, clean = (np.asarray(table[c]) for c in ("tongue", "word", "toxic", "clean"))
+    whole = np.array([totals[t] for t in tongue.tolist()])
+    odds = log_odds(toxic, clean, whole[:, 0], whole[:, 1])
+    strong = odds >= STRONG
+    np.maximum.at(out, word[strong], odds[strong].astype(np.float32))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame | None, toxic: np.ndarray, id: str = "doc_id", text: str = "text", lang: str | None = None, sample: int = SAMPLE) -> np.ndarray:
     """Weights of the scorer."""
     kind = docs.schema[id].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(toxic)
+    tongue = [lang] if lang else []
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, text):
-                yield pa.RecordBatch.from_arrays([part.column(id), pa.array(_code(votes_and_features(part.column(text))[0]))], names=["id", "pattern"])
+                yield pa.RecordBatch.from_arrays([part.column(id), pa.array(_code(votes_and_features(part.column(text), _tongues(part, lang), shared.value)[0]))], names=["id", "pattern"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, text):
-                features = pa.array(votes_and_features(part.column(text))[1], pa.list_(pa.int64()))
+                features = pa.array(votes_and_features(part.column(text), _tongues(part, lang), shared.value)[1], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("pattern"), part.column("given"), features], names=["id", "pattern", "given", "features"])
 
-    votes = stored(docs.select(id, text).mapInArrow(vote, f"id {kind}, pattern bigint"), "votes")
+    votes = stored(docs.select(*dict.fromkeys([id, text, *tongue])).mapInArrow(vote, f"id {kind}, pattern bigint"), "votes")
     votes = stored(_given(labels, votes, id), "votes")
     # at most VOTES ** len(LABELLERS) patterns for each given class
     rows = sorted(tuple(r) for r in votes.groupBy("pattern", "given").count().collect())
@@ -245,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame | None, id: str = "doc_id", text: s
     ids = votes.where("id is not null").groupBy("id").agg(F.min("pattern").alias("pattern"), F.min("given").alias("given"))
     chosen = ids.where("given >= 0").orderBy(order, "id").limit(sample).union(ids.where("given < 0").orderBy(order, "id").limit(sample))
     chosen = F.broadcast(stored(chosen, "sample"))  # 2 * sample rows
-    texts = docs.select(F.col(id).alias("id"), text).join(chosen, "id").select("id", text, "pattern", "given")
+    texts = docs.select(F.col(id).alias("id"), *dict.fromkeys([text, *tongue])).join(chosen, "id").select("id", *dict.fromkeys([text, *tongue]), "pattern", "given")
     described = texts.mapInArrow(describe, f"id {kind}, pattern bigint, given int, features array<bigint>").dropDuplicates(["id"])
     table = described.toArrow().sort_by("id")
     features = [np.asarray(x.values).astype(np.int32) for x in table["features"]]
@@ -257,29 +337,42 @@ def train(docs: DataFrame, labels: DataFrame | None, id: str = "doc_id", text: s
 
 
 def scored(
-    docs: DataFrame, labels: DataFrame | None, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, threshold: float = THRESHOLD
+    docs: DataFrame,
+    labels: DataFrame | None,
+    id: str = "doc_id",
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    sample: int = SAMPLE,
+    threshold: float = THRESHOLD,
+    lang: str | None = "lang",
 ) -> DataFrame:
-    """Columns `keep` with quality_score, the chance that a document is good, and quality_kept."""
-    weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id, text, sample).astype(np.float32))
+    """Columns `keep` with quality_score, the chance that a document is good, and quality_kept.
+
+    `lang` names the column of languages; without such a column all documents count as of one.
+    """
+    lang = lang if lang in docs.columns else None
+    toxic = toxic_words(docs, labels, id, text, lang)
+    weights = docs.sparkSession.sparkContext.broadcast((train(docs, labels, toxic, id, text, lang, sample).astype(np.float32), toxic))
     names = [c for c in keep if c not in ("quality_score", "quality_kept")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, text):
-                votes, features = votes_and_features(part.column(text))
-                chance = chances(weights.value, features).astype(np.float64)
+                scorer, known = weights.value
+                votes, features = votes_and_features(part.column(text), _tongues(part, lang), known)
+                chance = chances(scorer, features).astype(np.float64)
                 kept = (chance >= threshold) & (votes[:, 0] != JUNK)  # the first labeller calls junk what has no words
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(chance), pa.array(kept)], names=[*names, "quality_score", "quality_kept"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["quality_score double", "quality_kept boolean"])
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(score, schema)
+    return docs.select(*dict.fromkeys([*names, text, *([lang] if lang else [])])).mapInArrow(score, schema)
 
 
-def without_junk(docs: DataFrame, labels: DataFrame | None, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def without_junk(docs: DataFrame, labels: DataFrame | None, id: str = "doc_id", text: str = "text", lang: str | None = "lang", **options) -> DataFrame:
     """The documents that the scorer keeps, with all their columns."""
     plain = {f"c{i}": c for i, c in enumerate(docs.columns)}  # no clash with the result columns
     renamed = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in plain.items()])
     back = {c: k for k, c in plain.items()}
     labels = labels.withColumnRenamed(id, back[id]) if labels is not None else None
-    kept = scored(renamed, labels, back[id], back[text], tuple(plain), **options).where("quality_kept")
+    kept = scored(renamed, labels, back[id], back[text], tuple(plain), lang=back.get(lang), **options).where("quality_kept")
     return kept.select(*[F.col(k).alias(c) for k, c in plain.items()])

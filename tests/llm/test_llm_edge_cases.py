@@ -174,3 +174,39 @@ def test_classifier_on_held_out_labels(spark):
         kind: judged.where(kind).agg(F.avg(F.col("quality_kept").cast("int"))).first()[0] for kind in ("quality = 1 and toxic = 0", "quality = 0")
     }
     assert share["quality = 1 and toxic = 0"] > 0.97 and share["quality = 0"] < 0.25
+
+
+def test_toxic_words_come_from_labels(spark):
+    """Toxic words that no list in the code names, in two languages; a word may be toxic in one of them only."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    pick = random.Random(7)
+    plain = [f"word{n}" for n in range(300)]
+    bad = {"xx": ["grumf", "zolk", "plain7"], "yy": ["vrang", "hust", "plain8"]}
+    rows = []
+    for i in range(800):
+        lang = "xx" if i % 2 else "yy"
+        words = pick.choices(plain, k=80) + [w for w in ("plain7", "plain8") if w not in bad[lang]]
+        if toxic := i % 8 < 2:
+            words += pick.choices(bad[lang], k=5)
+        pick.shuffle(words)
+        rows.append((i, " ".join(words), lang, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    labels = docs.where("doc_id % 16 < 8").select("doc_id", F.lit(1).alias("quality"), "toxic")
+    judged = quality_model.scored(docs.drop("toxic"), labels).join(docs, "doc_id").where("doc_id % 16 >= 8")
+    kept = {(r.lang, r.toxic): r.share for r in judged.groupBy("lang", "toxic").agg(F.avg(F.col("quality_kept").cast("int")).alias("share")).collect()}
+    assert max(kept["xx", 1], kept["yy", 1]) < 0.1 and min(kept["xx", 0], kept["yy", 0]) > 0.9
+
+
+def test_held_out_toxic_documents_per_language(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality_model.scored(docs, labels.where("doc_id % 3 != 0"), keep=("doc_id", "lang")).join(labels.where("doc_id % 3 = 0"), "doc_id")
+    found = {r.lang: r.share for r in judged.where("toxic = 1").groupBy("lang").agg(F.avg(1 - F.col("quality_kept").cast("int")).alias("share")).collect()}
+    assert found["en"] > 0.97 and min(found["de"], found["fr"]) > 0.8 and found["es"] > 0.5
+    clean = judged.where("quality = 1 and toxic = 0").agg(F.avg(F.col("quality_kept").cast("int"))).first()[0]
+    assert clean > 0.97
