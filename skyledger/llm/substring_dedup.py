@@ -1,7 +1,11 @@
 """Substring dedup over sliding spans of sentences.
 
-A sentence ends at a line feed, or at . ! or ? before white space; one of more
-than `PIECE` words counts as several. Sentences are compared by their words, in
+A sentence ends at a line feed, at . ! or ? unless a word follows at once, or at a
+mark of Chinese and Japanese; one of more than `PIECE` words counts as several. It
+is cut where the words choose: of every `PIECE` words in a row, before the one of
+the least hash. So a passage is cut alike wherever it begins, and one of more than
+50 words always has a span of its own. Characters of scripts without spaces
+(Chinese, Japanese, Thai) are words. Sentences are compared by their words, in
 any case and with any punctuation. From each sentence on, the span is the next
 `sentences` of them, or as many more as `words` words take. Every span is hashed
 to 96 bits; equal spans of all documents meet in one aggregate that combines
@@ -28,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
-from skyledger.llm.text import ALPHANUMERIC, NOT_SPACE, byte_slices, mix, utf8, word_hashes, word_spans
+from skyledger.llm.text import ALPHANUMERIC, byte_slices, mix, utf8, window_starts, word_hashes, word_spans
 
-PIECE = 16
+PIECE = 10
 SENTENCES = 3
 WORDS = 20
 _END = np.isin(np.arange(256), list(b".!?"))
 _FEED = np.uint8(0x0A)
+_WIDE_ENDS = [s.encode() for s in "。！？．｡"]
 _PLACES = np.random.default_rng(20250119).integers(1, 1 << 62, (2, PIECE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 
@@ -50,22 +55,64 @@ class Spans:
     hashes: list[np.ndarray]
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like word_spans, with characters of scripts without spaces as words; also whether a sentence ends at each byte."""
+    stop = np.append(_END[data[:-1]] & ~ALPHANUMERIC[data[1:]], False) | (data == _FEED)
+    last = offsets[1:][offsets[1:] > 0] - 1
+    stop[last] |= _END[data[last]]
+    if not ((data >= 0xE0) & (data <= 0xEF)).any():
+        return *word_spans(data, offsets, ALPHANUMERIC), stop
+    a, b = data, np.append(data[1:], 0)
+    c = np.append(data[2:], [0, 0]) if len(data) > 1 else np.zeros_like(data)
+    mark = np.zeros(len(data), dtype=bool)
+    for x, y, z in _WIDE_ENDS:
+        mark |= (a == x) & (b == y) & (c == z)
+    stop |= mark
+    # U+3000 to U+303F but the letters 3005 to 3007, and wide , : ;
+    mark |= (a == 0xE3) & (b == 0x80) & ((c < 0x85) | (c > 0x87))
+    mark |= (a == 0xEF) & (b == 0xBC) & np.isin(c, [0x8C, 0x9A, 0x9B])
+    alone = (((a >= 0xE3) & (a <= 0xE9)) | ((a == 0xE0) & ((b == 0xB8) | (b == 0xB9)))) & ~mark
+    plain = data.copy()
+    for k in range(3):
+        plain[np.flatnonzero(mark) + k] = 0x20
+    starts, ends, _ = word_spans(plain, offsets, ALPHANUMERIC)
+    at = np.flatnonzero(alone)
+    inner = np.unique(np.concatenate((at, at + 3)))  # words also begin and end at these, where they are inside one
+    inside = np.searchsorted(starts, inner, side="right") - 1
+    inner = inner[(inside >= 0) & (inner > starts[inside]) & (inner < ends[inside])] if len(starts) else inner[:0]
+    starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
+    return starts, ends, np.searchsorted(starts, offsets), stop
+
+
+def _chosen(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which words have the least hash of some `PIECE` words in a row of their text."""
+    out = np.zeros(len(hashes), dtype=bool)
+    begins = window_starts(first, PIECE)
+    best, at = hashes[begins], begins.copy()
+    for j in range(1, PIECE):
+        less = hashes[begins + j] < best
+        best[less], at[less] = hashes[begins[less] + j], begins[less] + j
+    out[at] = True
+    return out
+
+
 def spans_of(texts: pa.Array, sentences: int, words: int) -> Spans:
     data, offsets = utf8(texts)
-    starts, ends, first = word_spans(data, offsets, ALPHANUMERIC)
+    starts, ends, first, stop = _words(data, offsets)
     n = len(starts)
     if not n:
         none = np.empty(0, np.int64)
         return Spans(none, none, np.zeros(len(offsets), np.int64), none, [np.empty(0, np.uint64)] * 2)
-    stop = np.append(_END[data[:-1]] & ~NOT_SPACE[data[1:]], False) | (data == _FEED)
     stops = np.concatenate(([0], np.cumsum(stop)))
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = stops[starts[1:]] > stops[ends[:-1]]
     fresh[first[:-1][first[:-1] < n]] = True
-    numbers = np.arange(n)
-    place = (numbers - np.maximum.accumulate(np.where(fresh, numbers, 0))) % PIECE
-    heads = np.flatnonzero(place == 0)  # first word of each sentence or part of one
     hashes = word_hashes(data, starts, ends)
+    whole = np.flatnonzero(fresh)
+    long = np.diff(np.append(whole, n)) > PIECE
+    fresh |= np.repeat(long, np.diff(np.append(whole, n))) & _chosen(hashes, first)
+    heads = np.flatnonzero(fresh)  # first word of each sentence or part of one
+    place = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
     codes = [mix(np.add.reduceat(hashes * own[place], heads)) for own in _PLACES]
     own_first = np.searchsorted(heads, first)
     texts_of = np.repeat(np.arange(len(first) - 1), np.diff(own_first))
@@ -174,12 +221,11 @@ def _kept(text: str, found: Spans, low: int, hit: np.ndarray) -> str:
         return ""
     begin = int(found.starts[low]) if low < len(found.starts) else 0
     # byte places are those of the slice; the first word of this text tells its own
-    lead = _lead(raw)
-    shift = begin - lead
+    shift = begin - _lead(raw)
     bounds = [0, *(found.starts[low + 1 : low + len(hit)] - shift).tolist(), len(raw)]
     return b"".join(raw[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~hit)).decode()
 
 
 def _lead(raw: bytes) -> int:
     data = np.frombuffer(raw, dtype=np.uint8)
-    return int(np.argmax(ALPHANUMERIC[data]))
+    return int(_words(data, np.array([0, len(data)]))[0][0])

@@ -210,3 +210,22 @@ def test_held_out_toxic_documents_per_language(spark):
     assert found["en"] > 0.97 and min(found["de"], found["fr"]) > 0.8 and found["es"] > 0.5
     clean = judged.where("quality = 1 and toxic = 0").agg(F.avg(F.col("quality_kept").cast("int"))).first()[0]
     assert clean > 0.97
+
+
+def test_passages_are_cut_at_any_offset(spark):
+    """A passage of 51 words, without marks, with marks before symbols, and of Chinese, at all phases of its surroundings."""
+    import random
+
+    pick = random.Random(11)
+    fresh = lambda n: " ".join(f"own{pick.randrange(10**9)}" for _ in range(n))
+    words = [f"shared{n}" for n in range(51)]
+    marked = " ".join(w + (".&&&" if n % 7 == 6 else "") for n, w in enumerate(words))
+    chinese = "".join(chr(0x4E00 + pick.randrange(5000)) + ("。" if n % 9 == 8 else "") for n in range(60))
+    for passage, least in ((" ".join(words), 20), (marked, 20), (chinese, 20)):
+        rows = [(k, f"{fresh(k)} {passage} {fresh(30 - k)}") for k in range(30)]
+        count = (lambda t: sum(c in chinese for c in t if c > "\u4e00")) if passage is chinese else (lambda t: t.count("shared"))
+        out = {r.doc_id: r for r in substring_dedup.without_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out[0].text == rows[0][1]
+        for k in range(1, 30):
+            assert count(rows[k][1]) - count(out[k].text) >= least, (passage, k)
+            assert all(w in out[k].text for w in rows[k][1].split() if w.startswith("own"))
