@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 The base patterns run over the whole text. Then encoded stretches are put on a
-worklist: percent escapes, Unicode escapes, base64 (also in its URL alphabet) and,
+worklist: percent and Unicode escapes of a whole layer at once, base64 (also in its URL alphabet) and,
 inside decoded bytes, gzip, zlib and bzip2. Each decoded layer is scanned by the
 same patterns and searched for encoded stretches again, until nothing new is
 found. A layer seen before in the same stretch ends its branch, so cycles stop;
@@ -27,7 +27,7 @@ import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -54,8 +54,8 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_BYTE = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _BASE64_BYTE = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
 
-# A layer: its text, and for each of its characters where it begins and ends in the original.
-Layer = tuple[str, list[int], list[int]]
+# A layer: its text, and for each of its characters where it begins and ends in the original, and whether the last step decoded it.
+Layer = tuple[str, np.ndarray, np.ndarray, np.ndarray]
 Span = tuple[int, int, str]
 
 
@@ -74,22 +74,21 @@ def base_spans(text: str) -> Iterator[Span]:
             yield m.start(), m.end(), "hex"
 
 
-def _unescaped(stretch: str, low: list[int], high: list[int]) -> Iterator[Layer]:
-    """A stretch with one level of its escapes replaced."""
+def _unescaped(text: str, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
+    """A layer with one level of its escapes replaced."""
     out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-
-    def put(chars: str, a: int, b: int) -> None:
-        for c in chars:
-            out.append(c)
-            starts.append(low[a])
-            ends.append(high[b - 1])
-
-    at = 0
-    for m in _ESCAPE.finditer(stretch):
-        for i in range(at, m.start()):
-            put(stretch[i], i, i + 1)
+    bounds: list[tuple[int, int, int]] = []  # where decoded characters begin and end in the layer, and their place
+    done = at = 0
+
+    def put(char: str, a: int, b: int) -> None:
+        nonlocal done
+        out.append(char)
+        bounds.append((a, b, done))
+        done += 1
+
+    for m in _ESCAPE.finditer(text):
+        out.append(text[at : m.start()])
+        done += m.start() - at
         at = m.end()
         if m[1]:
             raw, i = bytes.fromhex(m[1].replace("%", "")), m.start()
@@ -100,11 +99,20 @@ def _unescaped(stretch: str, low: list[int], high: list[int]) -> Iterator[Layer]
         else:
             code = int(m[5]) if m[5] else int(m[2] or m[3] or m[4] or m[6], 16)
             put(chr(code) if code < 0x110000 else "�", m.start(), m.end())
-    for i in range(at, len(stretch)):
-        put(stretch[i], i, i + 1)
-    text = "".join(out)
-    if text != stretch:
-        yield text, starts, ends
+    if not bounds:
+        return
+    out.append(text[at:])
+    begins, ends, places = np.array(bounds).T
+    # each plain character is as far from its place in the layer as the decoded ones before it have taken
+    shift = np.zeros(done + len(text) - at, np.int64)
+    np.add.at(shift, places, ends - begins - 1)
+    source = np.arange(len(shift)) + np.cumsum(shift)
+    fresh = np.zeros(len(shift), dtype=bool)
+    fresh[places] = True
+    source[places] = begins
+    until = source + 1
+    until[places] = ends
+    yield "".join(out), low[source], high[until - 1], fresh
 
 
 def _is_utf8(raw: bytes) -> bool:
@@ -169,7 +177,7 @@ def _texts(raw: bytes) -> Iterator[str]:
         return
 
 
-def _decoded(stretch: str, low: list[int], high: list[int]) -> Iterator[Layer]:
+def _decoded(stretch: str, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
     """The text in a base64 stretch."""
     body = stretch.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -180,7 +188,7 @@ def _decoded(stretch: str, low: list[int], high: list[int]) -> Iterator[Layer]:
         return
     if _engine(raw) is not None:
         for text in _texts(raw):
-            yield text, [low[0]] * len(text), [high[-1]] * len(text)
+            yield text, np.full(len(text), low[0]), np.full(len(text), high[-1]), np.ones(len(text), dtype=bool)
         return
     text = _readable(raw)
     if not text:
@@ -191,37 +199,31 @@ def _decoded(stretch: str, low: list[int], high: list[int]) -> Iterator[Layer]:
         starts.append(low[byte // 3 * 4])
         ends.append(high[min((byte + n - 1) // 3 * 4 + 3, len(stretch) - 1)])
         byte += n
-    yield text, starts, ends
+    yield text, np.array(starts), np.array(ends), np.ones(len(text), dtype=bool)
 
 
-def _stretches(layer: str) -> Iterator[tuple[int, int, Callable]]:
-    """Encoded stretches of a layer and what decodes them."""
+def _layers(layer: str, low: np.ndarray, high: np.ndarray, fresh: np.ndarray) -> Iterator[Layer]:
+    """What a layer decodes to; stretches without a fresh character have been decoded with the layer before."""
     if "%" in layer or "\\" in layer or "&#" in layer:
-        for word in re.finditer(r"[\x21-\x7e]+", layer):
-            if _ESCAPE.search(word[0]):
-                yield word.start(), word.end(), _unescaped
+        yield from _unescaped(layer, low, high)
     for m in _BASE64.finditer(layer):
-        yield m.start(), m.end(), _decoded
+        if fresh[m.start() : m.end()].any():
+            yield from _decoded(m[0], low[m.start() : m.end()], high[m.start() : m.end()])
 
 
 def decoded_spans(text: str) -> set[Span]:
-    """Secrets inside encoded stretches, at their places in the text."""
+    """Secrets that decoding shows, at their places in the text."""
     found: set[Span] = set()
-    work: list[tuple[str, list[int], list[int], frozenset[bytes]]] = []
-
-    def unwrap(part: str, low: list[int], high: list[int], decode: Callable, seen: frozenset[bytes]) -> None:
-        for layer, starts, ends in decode(part, low, high):
-            mark = hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()
-            if mark not in seen:
-                work.append((layer, starts, ends, seen | {mark}))
-
-    for a, b, decode in _stretches(text):
-        unwrap(text[a:b], list(range(a, b)), list(range(a + 1, b + 1)), decode, frozenset())
+    at = np.arange(len(text))
+    work: list[tuple[Layer, frozenset[bytes]]] = [((text, at, at + 1, np.ones(len(text), dtype=bool)), frozenset())]
     while work:
-        layer, low, high, seen = work.pop()
-        found.update((low[a], high[b - 1], kind) for a, b, kind in base_spans(layer))
-        for a, b, decode in _stretches(layer):
-            unwrap(layer[a:b], low[a:b], high[a:b], decode, seen)
+        outer, seen = work.pop()
+        for layer, low, high, fresh in _layers(*outer):
+            mark = hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()
+            if mark in seen:
+                continue
+            found.update((int(low[a]), int(high[b - 1]), kind) for a, b, kind in base_spans(layer) if fresh[a:b].any())
+            work.append(((layer, low, high, fresh), seen | {mark}))
     return found
 
 

@@ -229,3 +229,18 @@ def test_passages_are_cut_at_any_offset(spark):
         for k in range(1, 30):
             assert count(rows[k][1]) - count(out[k].text) >= least, (passage, k)
             assert all(w in out[k].text for w in rows[k][1].split() if w.startswith("own"))
+
+
+@pytest.mark.parametrize(
+    "secret",
+    [
+        r"\u0022password\u0022: \u0022abcdefgh12345678\u0022",
+        "token%3D abcdefghijklmnop",
+        "p%61ssword = abcdefgh12345678",
+        "secret&#58; abcdefgh12345678",
+        r"\x41\x4bIAA1B2C3D4E5F6G7H8",
+    ],
+)
+def test_partly_escaped_secrets_with_spaces(secret):
+    (span,) = secrets.decoded_spans(f"é x {secret} y %41 z")
+    assert 4 <= span[0] < span[1] <= 4 + len(secret) and span[1] - span[0] > 12
