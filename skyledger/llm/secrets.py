@@ -2,28 +2,28 @@
 
 The base patterns run over the whole text. Then encoded stretches are put on a
 worklist: percent and Unicode escapes of a whole layer at once, base64 (also in its URL alphabet) and,
-inside decoded bytes, gzip, zlib and bzip2. Each decoded layer is scanned by the
+inside decoded or unescaped bytes, gzip, zlib and bzip2. Each decoded layer is scanned by the
 same patterns and searched for encoded stretches again, until nothing new is
 found. A layer seen before in the same stretch ends its branch, so cycles stop;
 every layer is shorter than what it came from, but for compressed ones, which
 are read part by part, so memory does not follow what they unfold to. A secret of a layer gets the place in the
 original text: escapes map character by character, so it gets just the escaped
 stretch; base64 maps to the groups of four that hold it, and a compressed layer
-to its whole stretch. Texts without any encoded stretch cost a few byte searches.
+to the rest of its stretch. Base64 is decoded in its four alignments, over line
+breaks too (the first line has 16 characters or more), and bytes are read as
+Latin-1 and UTF-16, so what surrounds a secret does not matter. Texts without any encoded stretch cost a few byte searches.
 
 Spans are in code points, ends exclusive; kinds are assign, access and hex.
 
 Defined results: NULL and empty texts have no spans; equal spans of a kind count
-once; stretches that do not decode to text are left alone; repeated rows are
+once; repeated rows are
 scanned each; kept columns named like a result column give way to it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import codecs
 import hashlib
 import re
 import zlib
@@ -49,7 +49,13 @@ _LEAST = {"assign": 12, "access": 18, "hex": 16}
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines of wrapped base64 are one stretch.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+# Where compressed streams may begin.
+_HEADER = re.compile(rb"\x1f\x8b\x08|\x78(?=[\x01\x5e\x9c\xda])|BZh[1-9]")
+# Escapes of bytes, the plain characters between them, and stretches of both.
+_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|[\x21-\x7e]")
+_BYTES = re.compile(r"[\x21-\x7e]+")
 
 _HEX_BYTE = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _BASE64_BYTE = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
@@ -123,89 +129,143 @@ def _is_utf8(raw: bytes) -> bool:
     return True
 
 
-def _readable(raw: bytes) -> str | None:
-    """Bytes as text if they are UTF-8 without control characters."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
 def _engine(head: bytes):
-    if head[:2] == b"\x1f\x8b":
+    if head[:3] == b"\x1f\x8b\x08":
         return zlib.decompressobj(31)
-    if head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0:
+    if head[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):  # not "x "
         return zlib.decompressobj()
     return bz2.BZ2Decompressor() if head[:3] == b"BZh" else None
 
 
 def _unfolded(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of compressed bytes, through compressed content too, in chunks of at most CHUNK."""
+    """The content of compressed bytes, through compressed content and all members too, in chunks of at most CHUNK; what follows them as it is."""
     head = next(chunks, b"")
-    engine = _engine(head)
-    if engine is None:
+    while len(head) < 3 and (more := next(chunks, b"")):
+        head += more
+    if _engine(head) is None:
         yield head
         yield from chunks
         return
+    rest: list[bytes] = []
 
     def inside() -> Iterator[bytes]:
-        for chunk in chain([head], chunks):
-            while chunk or not getattr(engine, "needs_input", True):
-                out = engine.decompress(chunk, CHUNK)
-                chunk = getattr(engine, "unconsumed_tail", b"")
-                if out:
-                    yield out
+        head_now: bytes = head
+        while (engine := _engine(head_now)) is not None:
+            left, got = b"", False
+            for chunk in chain([head_now], chunks):
+                while (chunk or not getattr(engine, "needs_input", True)) and not engine.eof:
+                    try:
+                        out = engine.decompress(chunk, CHUNK)
+                    except (zlib.error, OSError):  # damaged: what came before it stands, or it is plain
+                        if not got:
+                            rest.append(head_now)
+                        return
+                    chunk = getattr(engine, "unconsumed_tail", b"")
+                    if out:
+                        got = True
+                        yield out
+                    elif not chunk:
+                        break
                 if engine.eof:
-                    return
+                    left = engine.unused_data.lstrip(b"\0")
+                    break
+            while len(left) < 3 and (more := next(chunks, b"")):
+                left = (left + more).lstrip(b"\0")
+            head_now = left
+        rest.append(head_now)
 
     yield from _unfolded(inside())
+    yield from rest
+    yield from chunks
 
 
 def _texts(raw: bytes) -> Iterator[str]:
     """Text of compressed bytes in parts cut at white space; each begins with the last TAIL characters of the one before."""
-    decoder, held = codecs.getincrementaldecoder("utf-8")(), ""
-    try:
-        for chunk in _unfolded(iter([raw])):
-            held += decoder.decode(chunk)
-            cut = max(held.rfind(" "), held.rfind("\n"))
-            if len(held) >= CHUNK and cut > TAIL:
-                yield held[:cut]
-                held = held[cut - TAIL :]
-        yield held + decoder.decode(b"", True)
-    except (zlib.error, OSError, UnicodeDecodeError):
-        return
+    held = b""
+    for chunk in _unfolded(iter([raw])):
+        held += chunk
+        cut = max(held.rfind(b" "), held.rfind(b"\n"))
+        if len(held) >= CHUNK and cut > TAIL:
+            yield from (text for text, _, _ in _readings(held[:cut]))
+            held = held[cut - TAIL :]
+    yield from (text for text, _, _ in _readings(held))
+
+
+def _readings(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Bytes as Latin-1, and as both phases of UTF-16 if there is a NUL, with the first byte and bytes a character.
+
+    The patterns are ASCII, so Latin-1 shows all that UTF-8 does, whatever bytes surround it.
+    """
+    yield raw.decode("latin-1"), 0, 1
+    if b"\0" in raw:
+        for phase in (0, 1):
+            units = np.frombuffer(raw[phase:] + b"\0" * ((len(raw) - phase) % 2), dtype="<u2")
+            yield np.where(units < 256, units, 0xFFFD).astype("<u2").tobytes().decode("utf-16-le"), phase, 2
+
+
+def _streams(raw: bytes) -> Iterator[tuple[int, str]]:
+    """The content of each compressed stream that begins anywhere in the bytes, and where."""
+    for m in _HEADER.finditer(raw):
+        if _engine(raw[m.start() :]) is not None:
+            for text in _texts(raw[m.start() :]):
+                if text:
+                    yield m.start(), text
+
+
+def _from_bytes(raw: bytes, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
+    """The layers in bytes whose places in the original are given."""
+    for text, first, width in _readings(raw):
+        at = first + width * np.arange(len(text))
+        yield text, low[at], high[np.minimum(at + width, len(raw)) - 1], np.ones(len(text), dtype=bool)
+    yield from _compressed(raw, low, high)
+
+
+def _compressed(raw: bytes, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
+    for at, text in _streams(raw):
+        yield text, np.full(len(text), low[at]), np.full(len(text), high[-1]), np.ones(len(text), dtype=bool)
 
 
 def _decoded(stretch: str, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
-    """The text in a base64 stretch."""
-    body = stretch.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return
-    if _engine(raw) is not None:
-        for text in _texts(raw):
-            yield text, np.full(len(text), low[0]), np.full(len(text), high[-1]), np.ones(len(text), dtype=bool)
-        return
-    text = _readable(raw)
-    if not text:
-        return
-    starts, ends, byte = [], [], 0
-    for c in text:
-        n = len(c.encode())
-        starts.append(low[byte // 3 * 4])
-        ends.append(high[min((byte + n - 1) // 3 * 4 + 3, len(stretch) - 1)])
-        byte += n
-    yield text, np.array(starts), np.array(ends), np.ones(len(text), dtype=bool)
+    """What a base64 stretch holds from any of its characters on: the four alignments show all of them."""
+    inside = np.flatnonzero(_BASE64_BYTE[np.frombuffer(stretch.encode("ascii"), dtype=np.uint8)])
+    body = "".join(stretch[i] for i in inside).replace("-", "+").replace("_", "/") if len(inside) < len(stretch) else stretch.replace("-", "+").replace("_", "/")
+    for first in range(4):
+        part = body[first:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        if not raw:
+            continue
+        group = first + np.arange(len(raw)) // 3 * 4
+        yield from _from_bytes(raw, low[inside[group]], high[inside[np.minimum(group + 3, len(body) - 1)]])
+
+
+def _escaped_bytes(text: str, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
+    """Compressed content and UTF-16 in bytes written as escapes, among plain characters or not."""
+    for stretch in _BYTES.finditer(text):
+        if not _ESCAPE.search(stretch[0]):
+            continue
+        raw, places = bytearray(), []
+        for m in _BYTE.finditer(text, stretch.start(), stretch.end()):
+            digits = next(filter(None, m.groups()[:4]), None)
+            code = int(digits, 16) if digits else int(m[5]) if m[5] else ord(m[0])
+            if code < 256:
+                raw.append(code)
+                places.append((m.start(), m.end()))
+        if not raw:
+            continue
+        begins, ends = np.array(places).T
+        if 0 in raw:
+            yield from list(_from_bytes(bytes(raw), low[begins], high[ends - 1]))[1:]
+        else:
+            yield from _compressed(bytes(raw), low[begins], high[ends - 1])
 
 
 def _layers(layer: str, low: np.ndarray, high: np.ndarray, fresh: np.ndarray) -> Iterator[Layer]:
     """What a layer decodes to; stretches without a fresh character have been decoded with the layer before."""
     if "%" in layer or "\\" in layer or "&#" in layer:
         yield from _unescaped(layer, low, high)
+        yield from _escaped_bytes(layer, low, high)
     for m in _BASE64.finditer(layer):
         if fresh[m.start() : m.end()].any():
             yield from _decoded(m[0], low[m.start() : m.end()], high[m.start() : m.end()])

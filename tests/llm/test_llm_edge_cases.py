@@ -244,3 +244,41 @@ def test_passages_are_cut_at_any_offset(spark):
 def test_partly_escaped_secrets_with_spaces(secret):
     (span,) = secrets.decoded_spans(f"é x {secret} y %41 z")
     assert 4 <= span[0] < span[1] <= 4 + len(secret) and span[1] - span[0] > 12
+
+
+def _forms():
+    import base64
+    import bz2
+    import gzip
+    import textwrap
+    import urllib.parse
+    import zlib
+
+    body = 'x password = "abcdefgh12345678" y'
+    raw, coded = body.encode(), base64.b64encode(body.encode()).decode()
+    noise = " ".join(f"{n * 7919 % 1000}line" for n in range(60)).encode()
+    packed = [gzip.compress(raw), zlib.compress(raw), bz2.compress(raw)]
+    return {
+        "path": f"https://x.io/{coded}",
+        "names": f"a-b_c/{coded}",
+        "wrapped": "\n".join(textwrap.wrap(base64.b64encode(noise[:70] + raw).decode(), 64)),
+        "short_wrapped": "\n".join(textwrap.wrap(coded, 20)),
+        "wrapped_gzip": "\r\n".join(textwrap.wrap(base64.b64encode(gzip.compress(noise + raw)).decode(), 76)),
+        "utf_16": base64.b64encode(body.encode("utf-16")).decode(),
+        "utf_16_be": base64.b64encode(body.encode("utf-16-be")).decode(),
+        "nul": base64.b64encode(b"ab\0" + raw).decode(),
+        "bom": base64.b64encode(b"\xef\xbb\xbf" + raw).decode(),
+        "control": base64.b64encode(b"\x1b[0m" + raw + b"\xff").decode(),
+        **{f"percent_{n}": urllib.parse.quote_from_bytes(x) for n, x in enumerate(packed)},
+        **{f"hex_{n}": "".join(f"\\x{b:02x}" for b in x) for n, x in enumerate(packed)},
+        "members": base64.b64encode(gzip.compress(b"first") + packed[0]).decode(),
+        "bzip2_members": base64.b64encode(bz2.compress(b"first") + packed[2]).decode(),
+        "mixed_members": base64.b64encode(gzip.compress(gzip.compress(b"first") + packed[2])).decode(),
+    }
+
+
+@pytest.mark.parametrize("form", list(_forms()))
+def test_secrets_in_any_form(form):
+    wrapped = _forms()[form]
+    found = secrets.decoded_spans(f"é see {wrapped} end")
+    assert {s[2] for s in found} == {"assign"} and all(6 <= a < b <= 6 + len(wrapped) for a, b, _ in found)
