@@ -2,7 +2,9 @@
 
 A line goes if an earlier one (by document id, then place) has the same words, or
 is one word edit away: a word replaced, added or left out. Lines of fewer than
-`exact` words stay; lines of fewer than `near` words go as equal ones only.
+`exact` words stay; the default excepts only blank ones. An edit counts if the
+longer of both lines has `near` words at least; shorter lines go as equal ones
+only. Characters of scripts without spaces (Chinese, Japanese, Thai) are words.
 
 1. Equal lines become one representative, the earliest, by a 128-bit hash.
 2. A line one edit away from another has its first or second half in common with
@@ -30,14 +32,15 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
 
-EXACT = 5
+EXACT = 1
 NEAR = 10
 _SPACE = r"[\x20\x09-\x0D]+"
+_ALONE = r"([\u0E00-\u0E7F\u3005-\u3007\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 LINE = ["line_a", "line_b"]
 
 
 def _words(line: Column | str) -> Column:
-    return F.array_remove(F.split(line, _SPACE), "")
+    return F.array_remove(F.split(F.regexp_replace(line, _ALONE, " $1 "), _SPACE), "")
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -64,8 +67,8 @@ def _lines(docs: DataFrame, id: str, text: str, exact: int) -> DataFrame:
     return rows.select("doc", "body", "place", "n", *hashes, _halves(F.col("words"), F.col("n")).alias("halves"))
 
 
-def _variants(rows: DataFrame) -> DataFrame:
-    """All keys of each line: variants with a place deleted, variants as whole lines, and the line itself."""
+def _variants(rows: DataFrame, near: int) -> DataFrame:
+    """All keys of each line: variants with a place deleted, variants as whole lines, and the line itself; only the last of lines under `near` words."""
     z = lambda place: F.transform("words", lambda w, i: F.xxhash64(w, i + place))
     # Hashes of the words before a place are combined by blocks of about the root of the length.
     rows = rows.withColumn("here", z(0)).withColumn("moved", z(-1)).withColumn("step", F.ceil(F.sqrt("n")).cast("int"))
@@ -98,7 +101,7 @@ def _variants(rows: DataFrame) -> DataFrame:
     line = F.struct(before.alias("before"), inside.alias("inside"), _xor(F.col("here")).alias("whole"), _xor(F.col("moved")).alias("shifted"))
     keys = rows.withColumn("keys", F.flatten(F.transform(F.array(line), variants)))
     # The outer form, as the optimizer would compute the keys once more to leave out rows without any.
-    return keys.select("first", F.inline_outer("keys"))
+    return keys.select("first", "n", F.inline_outer("keys")).where((F.col("n") >= near) | (F.col("kind") == "own")).drop("n")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -110,7 +113,7 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(a) == F.size(b) + 1, added).otherwise(False)
 
 
-def _near(lines: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+def _near(lines: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str, near: int) -> DataFrame:
     """Representatives with an earlier line one edit away."""
     halves = reps.select(*LINE, F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min(LINE[0]).alias("low"), F.max(LINE[0]).alias("high")).where("low != high").select("half")
@@ -124,7 +127,7 @@ def _near(lines: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str
     found = found.select("all", F.inline("lines")).select(*LINE, "first", _words(F.get("all", F.col("place"))).alias("words"))
     found = stored(found.withColumn("n", F.size("words")), "lines")
 
-    variants = stored(_variants(found), "variants")
+    variants = stored(_variants(found, near), "variants")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))
     keys = variants.groupBy("key").agg(least("place").alias("place"), least("longer").alias("longer"), least("own").alias("own"), F.count("*").alias("size"))
     keys = stored(keys.where("size > 1").drop("size"), "keys")
@@ -135,7 +138,7 @@ def _near(lines: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str
     both = both.join(found.select(F.col("first").alias("hub"), F.col("words").alias("b"), F.col("n").alias("b_n")), "hub")
     swap = F.col("a_n") < F.col("b_n")
     long, short = (F.when(swap, F.col(x)).otherwise(F.col(y)) for x, y in (("b", "a"), ("a", "b")))
-    return both.where(_one_edit(long, short)).select(*LINE).distinct()
+    return both.where(F.greatest("a_n", "b_n") >= near).where(_one_edit(long, short)).select(*LINE).distinct()
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", exact: int = EXACT, near: int = NEAR) -> DataFrame:
@@ -143,7 +146,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", exac
     lines = stored(_lines(docs, id, text, exact), "lines")
     order = F.struct("doc", "body", "place")
     reps = stored(lines.groupBy(*LINE, "n", "halves").agg(F.min(order).alias("first"), F.max(order).alias("last")), "representatives")
-    close = stored(_near(lines, reps.where(F.col("n") >= near), docs, id, text), "near")
+    close = stored(_near(lines, reps.where(F.col("n") >= near - 1), docs, id, text, near), "near")
     known = reps.join(close.withColumn("near", F.lit(True)), LINE, "left").where("near or first != last").select(*LINE, "first", "near")
     gone = lines.select("doc", "body", "place", *LINE).join(stored(known, "known").hint("merge"), LINE).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "body", "place") > F.col("first")))
     return stored(gone.groupBy("doc", "body").agg(F.sort_array(F.collect_set("place")).alias("places")), "gone")

@@ -282,3 +282,26 @@ def test_secrets_in_any_form(form):
     wrapped = _forms()[form]
     found = secrets.decoded_spans(f"é see {wrapped} end")
     assert {s[2] for s in found} == {"assign"} and all(6 <= a < b <= 6 + len(wrapped) for a, b, _ in found)
+
+
+def test_short_lines_and_text_without_spaces(spark):
+    ten = [f"w{n}" for n in range(10)]
+    chinese = "".join(chr(0x4E00 + n) for n in range(12))
+    rows = [
+        (0, "Home\n" + " ".join(ten) + "\n" + chinese + "\n\n" + "a b c d e f g h"),
+        (1, "Home\n" + " ".join(ten[:4] + ten[5:]) + "\n" + chinese[:5] + "\u6000" + chinese[6:] + "\n\n" + "a b c d e f g x"),  # nine words
+        (2, "own\n" + chinese[::-1] + "\n" + chinese[:4] + "\nHome"),
+        (3, chinese[:4]),
+    ]
+    got = {r.doc: list(r.places) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [0, 1, 2], 2: [3], 3: [0]}
+
+
+def test_each_equal_line_goes_but_blank_ones(spark):
+    import brute
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = {r.doc: set(r.places) for r in line_dedup.repeated_lines(docs).collect()}
+    want = brute.repeated_lines(rows, exact=1)
+    assert all(set(places) <= got.get(i, set()) for i, places in want.items())
