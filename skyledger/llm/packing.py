@@ -22,14 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
 from skyledger.llm.text import byte_slices
-from skyledger.llm.tokens import encode_texts
+from skyledger.llm.tokens import ENCODED, encode_texts
 
 SIZE = 2048
 END = 1
@@ -41,8 +40,8 @@ def cut_pieces(docs: DataFrame, path: str, id: str, text: str, size: int, end: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, used = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
-            for part in byte_slices(batch, text):
-                ids, bounds = encode_texts(pc.fill_null(part.column(text), "").to_pylist(), path)
+            for part in byte_slices(batch, text, ENCODED):
+                ids, bounds = encode_texts(part.column(text), path)
                 tokens = np.diff(bounds) + 1
                 ids = np.insert(ids, bounds[1:], end).astype("<u4")
                 pieces = -(-tokens // size)

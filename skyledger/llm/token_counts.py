@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from skyledger.llm.text import byte_slices
-from skyledger.llm.tokens import count_texts
+from skyledger.llm.tokens import ENCODED, count_texts
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -28,10 +28,10 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, text):
+            for part in byte_slices(batch, text, ENCODED):
                 texts = pc.fill_null(part.column(text), "")
                 n_bytes = pc.binary_length(texts).cast(pa.int64())
-                counts = pa.array(count_texts(texts.to_pylist(), path))
+                counts = pa.array(count_texts(texts, path))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], n_bytes, counts], names=[*names, "n_bytes", "n_tokens"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["n_bytes bigint", "n_tokens bigint"])

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm import ans
 from skyledger.llm.text import byte_slices
-from skyledger.llm.tokens import encode_texts
+from skyledger.llm.tokens import ENCODED, encode_texts
 
 END = 1
 BLOCK = 1 << 20
@@ -137,8 +137,8 @@ def write_token_files(docs: DataFrame, target: str, path: str, id: str = "doc_id
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for rows in byte_slices(batch, text):
-                ids, bounds = encode_texts(pc.fill_null(rows.column(text), "").to_pylist(), path)
+            for rows in byte_slices(batch, text, ENCODED):
+                ids, bounds = encode_texts(rows.column(text), path)
                 own = rows.column(id).cast(pa.int64())
                 lengths = np.diff(bounds) + 1
                 waiting.append((pc.fill_null(own, 0).to_numpy(), pc.is_valid(own).to_numpy(zero_copy_only=False), lengths, np.insert(ids, bounds[1:], end)))
