@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
 from skyledger.llm.text import byte_slices, utf8
-from skyledger.llm.tokens import ENCODED, encode_texts
+from skyledger.llm.tokens import encode_texts
 
+BLOCK = 1 << 23
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -179,6 +180,25 @@ def _aligned(texts: pa.Array, path_a: str, path_b: str) -> dict[str, object]:
     return out
 
 
+def _filled(texts: pa.Array) -> pa.Array:
+    return (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
+
+
+def _merged(parts: list[dict[str, np.ndarray]]) -> dict[str, pa.Array]:
+    """The distinct pairs of a block, and the pairs of its documents as places among them."""
+    every = np.concatenate([own["pairs"] for own in parts])
+    pairs, place = np.unique(every, return_inverse=True)
+    docs = np.bincount(place, np.concatenate([own["pair_docs"] for own in parts]), len(pairs)).astype(np.int64)
+    bounds = np.cumsum([0, *[len(own["pairs"]) for own in parts]])
+    held = [place[low : low + len(own["pairs"])][own["pair"]] for low, own in zip(bounds.tolist(), parts, strict=False)]
+    return {
+        "pairs": pa.array([pairs], pa.list_(pa.int64())),
+        "pair_docs": pa.array([docs], pa.list_(pa.int64())),
+        "pair": pa.array([np.concatenate(held).astype("<u4").tobytes()], pa.binary()),
+        "times": pa.array([np.concatenate([own["times"] for own in parts]).tobytes()], pa.binary()),
+    }
+
+
 def _blocks(docs: DataFrame, keep: list[str], text: str, path_a: str, path_b: str) -> DataFrame:
     """One row for each block of texts."""
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("body"))
@@ -187,24 +207,18 @@ def _blocks(docs: DataFrame, keep: list[str], text: str, path_a: str, path_b: st
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for cut in byte_slices(batch, "body", ENCODED):
-                texts = cut.column("body")
-                texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
-                got = _aligned(texts, path_a, path_b)
-                docs = pa.StructArray.from_arrays(
-                    [cut.column("kept"), *[pa.array(got[n], pa.int64()) for n in (*_NUMBERS, "holds")], pa.array(got["digest"], pa.string())],
-                    ["kept", *_NUMBERS, "holds", "digest"],
-                )
-                row = {
-                    "block": pa.array([(part << 32) | number], pa.int64()),
-                    "docs": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-                    "pairs": pa.array([got["pairs"]], pa.list_(pa.int64())),
-                    "pair_docs": pa.array([got["pair_docs"]], pa.list_(pa.int64())),
-                    "pair": pa.array([got["pair"].tobytes()], pa.binary()),
-                    "times": pa.array([got["times"].tobytes()], pa.binary()),
-                }
+            # aligned by the megabyte, as arrays of tokens are much larger than texts
+            for block in byte_slices(batch, "body", BLOCK):
+                parts, docs = [], []
+                for cut in byte_slices(block, "body"):
+                    got = _aligned(_filled(cut.column("body")), path_a, path_b)
+                    fields = [cut.column("kept"), *[pa.array(got.pop(n), pa.int64()) for n in (*_NUMBERS, "holds")], pa.array(got.pop("digest"), pa.string())]
+                    docs.append(pa.StructArray.from_arrays(fields, ["kept", *_NUMBERS, "holds", "digest"]))
+                    parts.append(got)
+                row = {"block": pa.array([(part << 32) | number], pa.int64()), **_merged(parts)}
+                row["docs"] = pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), pa.concat_arrays(docs))
                 number += 1
-                yield pa.RecordBatch.from_pydict(row)
+                yield pa.RecordBatch.from_pydict({name: row[name] for name in ("block", "docs", "pairs", "pair_docs", "pair", "times")})
 
     fields = ", ".join(f"{n}: bigint" for n in (*_NUMBERS, "holds"))
     schema = f"block bigint, docs array<struct<kept: {kept}, {fields}, digest: string>>, pairs array<bigint>, pair_docs array<bigint>, pair binary, times binary"
