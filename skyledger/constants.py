@@ -119,6 +119,7 @@ GRID_ORIGIN_CELL = (43, 136)
 
 # -- published documents ----------------------------------------------------
 
+# Names of the published layouts.
 LAYOUTS = ("cond", "rain", "wind", "humid")
 
 # Date group -> days after today.

@@ -15,7 +15,9 @@ from skyledger.functions import clock, icons, precipitation
 from skyledger.functions.grid import grid_cell
 from skyledger.lens import formulas as L
 from skyledger.lens import rows as lens
+from skyledger.functions.sql import register_functions
 from skyledger.operators import dims, horizon, pivot, ranking
+from skyledger.operators.layout import spread
 from skyledger.operators.typing import REJECTED, accepted, rejected
 from skyledger.plans import archive, ingest, mapview, publish, views, weekly
 from skyledger.plans.latest import latest_rows
@@ -122,6 +124,32 @@ def filename_dates(spark: SparkSession, sf: str) -> DataFrame:
     return flat(zones.with_issue_date(issued))
 
 
+def raw_redelivery(spark: SparkSession, sf: str) -> DataFrame:
+    """All issues delivered, then those of 06 and 18 o'clock again, whole, with fewer and other rows; what raw holds."""
+    root = scratch_dir(spark, "raw")
+    rows = lens.raw(lens.base(spark, sf), ULTRA, "event_id")
+    zones.write_raw(rows.drop("event_id"), root, 1, whole=True)
+    again = rows.where(F.substring("basetime", 9, 2).isin("06", "18") & (F.col("event_id") % 2 == 1))
+    zones.write_raw(again.withColumn("REH", F.col("REH") + 1).drop("event_id"), root, 2, whole=True)
+    return flat(zones.read_raw(spark, root, ULTRA, *_period(rows)))
+
+
+def raw_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A flat folder with one file per issue, read by the issue time in the names of its files."""
+    root = scratch_dir(spark, "flat")
+    rows = lens.raw(lens.base(spark, sf), NOW).withColumn("issue", F.col("basetime"))
+    rows.repartition("issue").write.partitionBy("issue").parquet(f"{root}/parted")
+    # the files get their names on the store, one for each issue
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(path(f"{root}/flat"))
+    for status in fs.globStatus(path(f"{root}/parted/issue=*/part-*.parquet")):
+        issue = status.getPath().getParent().getName().removeprefix("issue=")
+        fs.rename(status.getPath(), path(f"{root}/flat/{issue}_weather_now.parquet"))
+    read = zones.read_raw_files(spark, f"{root}/flat", NOW, *_period(rows))
+    return flat(zones.with_issue_date(read).drop("batch"))
+
+
 # -- scalar operators -------------------------------------------------------
 
 
@@ -189,9 +217,14 @@ def horizon_slots(spark: SparkSession, sf: str) -> DataFrame:
     return flat(horizon.explode_slots(events, hour).drop("ts"))
 
 
+def _named_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as cities of their own, dealt over all cores for the work on their payloads."""
+    return spread(spark.read.parquet(f"{sf}/events.parquet")).withColumn("n_name", F.col("event_id").cast("string"))
+
+
 def horizon_match(spark: SparkSession, sf: str) -> DataFrame:
     """Payload items of the slots, with their lead index."""
-    docs = lens.documents(spark.read.parquet(f"{sf}/events.parquet").withColumn("n_name", F.col("event_id").cast("string")), ULTRA)
+    docs = lens.documents(_named_events(spark, sf), ULTRA)
     hour = clock.base_hour(F.col("basetime")).try_cast("int")
     items = horizon.within_horizon(explode_items(docs), hour, F.col("fcstTime"))
     return flat(items.groupBy("city", "fcsthour").agg(F.count("*").alias("items")).withColumnRenamed("city", "event"))
@@ -208,7 +241,7 @@ def grid_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf: str, feed: str) -> DataFrame:
-    docs = lens.documents(lens.base(spark, sf), feed)
+    docs = lens.documents(lens.place(spread(spark.read.parquet(f"{sf}/events.parquet")), sf), feed)
     return ingest.parse(feed, docs, lens.regions(spark, sf), dimensions.default_icons(spark))
 
 
@@ -217,17 +250,21 @@ def _ingest(feed: str) -> Query:
 
 
 def _ingest_state(feed: str) -> Query:
-    """Payload documents through the ingest stream to the latest state."""
+    """Payload documents in three deliveries through the ingest stream to the latest state."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         root = scratch_dir(spark, "ingest-state")
         store = SnapshotStore(spark, f"{root}/state", feed)
-        docs = lens.documents(lens.place(_event_stream(spark, sf), sf), feed)
-        jobs.ingest_stream(
-            docs, feed, lens.regions(spark, sf), dimensions.default_icons(spark),
-            raw_root=f"{root}/raw", rejects_root=f"{root}/rejects", checkpoint=f"{root}/checkpoint", store=store,
-        )
-        return flat(store.read().groupBy("basetime").agg(F.count("*").alias("rows"), F.countDistinct("city").alias("cities")))
+        regions, icon_dim = lens.regions(spark, sf), dimensions.default_icons(spark)
+
+        def deliver(events: DataFrame) -> None:
+            jobs.ingest_stream(
+                lens.documents(lens.place(events, sf), feed), feed, regions, icon_dim,
+                raw_root=f"{root}/raw", rejects_root=f"{root}/rejects", checkpoint=f"{root}/checkpoint", store=store,
+            )
+
+        _in_pieces(spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id") % 3, 3, f"{root}/in", deliver)
+        return flat(store.read())
 
     return run
 
@@ -244,12 +281,51 @@ def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 def pivot_items(spark: SparkSession, sf: str) -> DataFrame:
     """Long items, one row each, to wide rows; the last of a repeated category wins."""
-    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("n_name", F.col("event_id").cast("string"))
-    items = explode_items(lens.documents(events, SHORT))
+    items = explode_items(lens.documents(_named_events(spark, sf), SHORT))
     key = ["city", "basetime", "fcstDate", "fcstTime"]
     return flat(pivot.items_to_wide(items, key, CATEGORIES[SHORT]).withColumnRenamed("city", "event"))
 
 
+def regions_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The region dimension as one JSON text, loaded and joined to the nowcast payloads."""
+    path = f"{scratch_dir(spark, 'regions')}/region.json"
+    info = F.struct("province", "lat", "lng")
+    cities = F.map_from_entries(F.collect_list(F.struct("city", info)))  # one row a city
+    lens.regions(spark, sf).select(F.to_json(cities).alias("value")).coalesce(1).write.text(path)
+    docs = lens.documents(lens.place(spread(spark.read.parquet(f"{sf}/events.parquet")), sf), NOW)
+    parsed = accepted(ingest.parse_now(docs, dimensions.load_regions(spark, path)))
+    return flat(parsed.groupBy("city", "province", "lat", "lng").agg(F.count("*").alias("rows")))
+
+
+def icons_json(spark: SparkSession, sf: str) -> DataFrame:
+    """An icon set of its own as one JSON text, loaded and joined to the short forecast by weather and folder."""
+    path = f"{scratch_dir(spark, 'icons')}/icons.json"
+    files = dimensions.default_icons(spark).groupBy("folder").agg(
+        F.map_from_entries(F.collect_list(F.struct("weather_key", F.concat(F.lit("set/"), "icon_file")))).alias("files")
+    )
+    text = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("folder", "files"))).alias("icons")))
+    files.agg(text.alias("value")).coalesce(1).write.text(path)
+    rows = lens.raw(lens.base(spark, sf), SHORT, "event_id").drop("icon_map")
+    key = icons.weather_key_short(F.col("PTY"), F.col("SKY"), F.col("PCP"), F.col("SNO"))
+    folder = F.when(F.col("event_id") % 2 == 0, F.lit("day")).otherwise(F.lit("night"))
+    return flat(dims.attach_icon(rows, dimensions.load_icons(spark, path), key, folder).select("event_id", "icon_map"))
+
+
+def sql_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Views and functions as a user of SQL meets them."""
+    short = lens.state(spark, sf, SHORT)
+    register_functions(spark)
+    views.register_views(lens.state(spark, sf, ULTRA), short)
+    short.createOrReplaceTempView("short_rows")
+    return flat(spark.sql("""
+        SELECT w.`도시` AS city, w.fcstdate, w.`풍향` AS wind_dir, w.`풍속` AS wind_speed, h.`습도` AS humidity, k.weather, k.n, k.worst
+        FROM short_wind w JOIN short_humid h ON h.`도시` = w.`도시` AND h.fcstdate = w.fcstdate
+        JOIN (SELECT city, fcstdate, weather_key_short(CAST(PTY AS STRING), CAST(SKY AS STRING), PCP, SNO) AS weather, count(*) AS n,
+                max(severity_short(split_part(icon_map, '_', 1))) AS worst
+              FROM short_rows GROUP BY ALL) k
+          ON k.city = w.`도시` AND k.fcstdate = w.fcstdate"""))
+
+
 # -- latest state -----------------------------------------------------------
 
 
@@ -330,12 +406,11 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
-def _pieces(rows: DataFrame, piece: Column, n: int, root: str) -> DataFrame:
-    """A stream that brings the rows in n micro-batches, by ``piece``."""
-    spark = rows.sparkSession
+def _in_pieces(rows: DataFrame, piece: Column, n: int, root: str, deliver: Callable[[DataFrame], None]) -> None:
+    """Bring the rows as a stream in n micro-batches, by ``piece``: a piece lands as many files, then the stream runs."""
     for k in range(n):
-        rows.where(piece == k).coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        rows.where(piece == k).write.mode("append").parquet(root)
+        deliver(rows.sparkSession.readStream.schema(rows.schema).parquet(root))
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,8 +429,11 @@ def stream_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """The newest issue of a stream of raw rows that comes in three pieces, each with rows of all issues."""
     root = scratch_dir(spark, "stream-state")
     store = SnapshotStore(spark, f"{root}/state", ULTRA)
-    rows = _pieces(lens.raw(lens.base(spark, sf), ULTRA, "event_id"), F.col("event_id") % 3, 3, f"{root}/in")
-    jobs.state_stream(rows, store, [F.col("event_id")], f"{root}/checkpoint")
+    rows = lens.raw(lens.base(spark, sf), ULTRA, "event_id")
+    _in_pieces(
+        rows, F.col("event_id") % 3, 3, f"{root}/in",
+        lambda stream: jobs.state_stream(stream, store, [F.col("event_id")], f"{root}/checkpoint"),
+    )
     return flat(store.read())
 
 
@@ -365,8 +443,10 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.read.parquet(f"{sf}/events.parquet").select(
         "event_id", "user_id", F.date_format("ts", "yyyyMMdd").alias("day"), F.explode(F.sequence(F.lit(0), F.col("event_id") % 3)).alias("copy")
     )
-    copies = _pieces(events, (F.col("event_id") + F.col("copy")) % 4, 4, f"{root}/in")
-    jobs.first_copies(copies, ["event_id"], "day", f"{root}/out", f"{root}/checkpoint")
+    _in_pieces(
+        events, (F.col("event_id") + F.col("copy")) % 4, 4, f"{root}/in",
+        lambda stream: jobs.first_copies(stream, ["event_id"], "day", f"{root}/out", f"{root}/checkpoint"),
+    )
     return flat(spark.read.parquet(f"{root}/out").select("event_id", "user_id"))
 
 
@@ -390,6 +470,11 @@ QUERIES: dict[str, Query] = {
     "ingest_rejects": ingest_rejects,
     "ingest_state_ultrashort": _ingest_state(ULTRA),
     "ingest_state_short": _ingest_state(SHORT),
+    "regions_json": regions_json,
+    "icons_json": icons_json,
+    "sql_surface": sql_surface,
+    "raw_redelivery": raw_redelivery,
+    "raw_files": raw_files,
     "snapshot_ultra": _snapshot(ULTRA),
     "snapshot_short": _snapshot(SHORT),
     "snapshot_store": snapshot_store,

@@ -15,3 +15,12 @@ def compact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     tasks and many small issues by few.
     """
     return df.hint("rebalance", *columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if the input came in fewer pieces, as a file that cannot be split does.
+
+    The rows move once before the work on them begins; an input of enough pieces stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

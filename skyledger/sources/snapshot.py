@@ -7,8 +7,10 @@ the old one in place. One writer per store is assumed.
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -20,7 +22,10 @@ from skyledger.functions.geo import make_point
 from skyledger.operators.ranking import keep_last
 from skyledger.schemas import SNAPSHOT, SNAPSHOT_KEY
 
-_LOG = "seq BIGINT, version STRING, issue STRING"
+_LOG = "seq BIGINT, version STRING, issue STRING, at_ms BIGINT"
+# The order value of a row beside the columns of the state; readers do not see it.
+RANK = "_rank_of_row"
+LEASE = timedelta(hours=1)
 
 
 def conform(df: DataFrame, feed: str, *keep: str) -> DataFrame:
@@ -36,6 +41,10 @@ def conform(df: DataFrame, feed: str, *keep: str) -> DataFrame:
     return given.select(*[typed(f.name, f.dataType).alias(f.name) for f in SNAPSHOT[feed]], *keep)
 
 
+def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    return df.withColumn(RANK, F.struct(*[c.alias(f"by{n}") for n, c in enumerate(order)]))
+
+
 class KeyViolation(ValueError):
     """Rows with the same, or without a, primary key."""
 
@@ -48,8 +57,9 @@ class Entry:
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, feed: str):
-        self.spark, self.root, self.feed = spark, root.rstrip("/"), feed
+    def __init__(self, spark: SparkSession, root: str, feed: str, lease: timedelta = LEASE):
+        """``lease`` is how long a version that is no longer current stays for those who read it."""
+        self.spark, self.root, self.feed, self.lease = spark, root.rstrip("/"), feed, lease
         self.key = SNAPSHOT_KEY[feed]
 
     # -- reading ------------------------------------------------------------
@@ -72,8 +82,9 @@ class SnapshotStore:
             return self.spark.createDataFrame([], SNAPSHOT[self.feed])
         return self._version(now.version)
 
-    def _version(self, version: str) -> DataFrame:
-        return self.spark.read.schema(SNAPSHOT[self.feed]).parquet(f"{self.root}/versions/{version}")
+    def _version(self, version: str, *more: T.StructField) -> DataFrame:
+        schema = T.StructType([*SNAPSHOT[self.feed].fields, *more])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/versions/{version}")
 
     # -- writing ------------------------------------------------------------
 
@@ -87,11 +98,15 @@ class SnapshotStore:
             raise ValueError(f"unknown duplicate rule: {on_dup}")
         if on_dup == "last" and not order:
             raise ValueError("keeping the last row needs an order")
-        rows = keep_last(df, self.key, order) if on_dup == "last" else df
+        rows = keep_last(_ranked(df, order), self.key, [F.col(RANK)]) if on_dup == "last" else df
+        return self._publish(conform(rows, self.feed, *[c for c in rows.columns if c == RANK]), unique=on_dup == "last")
+
+    def _publish(self, rows: DataFrame, unique: bool) -> bool:
+        """Write a version, check it, and make it current."""
         version = uuid.uuid4().hex
-        conform(rows, self.feed).write.parquet(f"{self.root}/versions/{version}")
+        rows.write.parquet(f"{self.root}/versions/{version}")
         try:
-            issue = self._check(version, unique=on_dup == "last")
+            issue = self._check(version, unique)
         except KeyViolation:
             self._delete([version])
             raise
@@ -103,6 +118,7 @@ class SnapshotStore:
             F.lit(now.seq + 1 if now else 1).cast("bigint").alias("seq"),
             F.lit(version).alias("version"),
             F.lit(issue).alias("issue"),
+            F.lit(time.time_ns() // 1_000_000).cast("bigint").alias("at_ms"),
         ).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
         return True
 
@@ -131,38 +147,43 @@ class SnapshotStore:
 
         An issue older than the state is ignored, rows of the same issue are
         merged by key (an issue may land in pieces), a newer issue replaces it.
-        Repeating a call changes nothing.
+        The last row of a key in ``order`` stays, and its order value with it, so
+        the state is the same however the pieces arrive and however often. Rows
+        of equal order are told apart by their values. ``order`` must have the
+        same types in all calls.
         """
         newest = df.agg(F.max("basetime").alias("issue")).first()["issue"]
         now = self.entry()
         if newest is None or (now is not None and newest < now.issue):
             return False
-        rows = df.where(F.col("basetime") == newest)
         # both sides get the types of the state first: a union of text and number would cast the text strictly
-        extra = [c for c in rows.columns if c not in SNAPSHOT[self.feed].names]
-        rows = keep_last(rows, self.key, order)
-        rows = conform(rows, self.feed, *extra)
+        rows = conform(_ranked(df.where(F.col("basetime") == newest), order), self.feed, RANK)
         if now is not None and newest == now.issue:
-            arrived = rows.withColumn("_arrival", F.lit(1))
-            held = self._version(now.version).withColumn("_arrival", F.lit(0))
-            rows = keep_last(held.unionByName(arrived, allowMissingColumns=True), self.key, [F.col("_arrival")])
-        done = self.replace(rows)
+            rows = rows.unionByName(self._version(now.version, rows.schema[RANK]))
+        values = F.struct(*SNAPSHOT[self.feed].names)
+        done = self._publish(keep_last(rows, self.key, [F.col(RANK), values]), unique=True)
         if done:
             self.expire()
         return done
 
-    def expire(self, keep: int = 2) -> int:
-        """Delete all but the ``keep`` newest versions, and the log rows of the others; returns how many."""
+    def expire(self, keep: int = 2, lease: timedelta | None = None) -> int:
+        """Delete versions that stopped being current a ``lease`` ago, and their log rows; returns how many.
+
+        The ``keep`` newest versions stay at any age. Whoever began to read a
+        version while it was current has the lease to finish.
+        """
         log = self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
-        rows = log.orderBy(F.desc("seq")).limit(keep).collect()
-        kept = {row["version"] for row in rows}
+        rows = log.dropDuplicates(["seq"]).orderBy(F.desc("seq")).collect()  # one row for each version not yet deleted
+        limit = time.time_ns() // 1_000_000 - (self.lease if lease is None else lease) // timedelta(milliseconds=1)
+        ended = [None, *[row["at_ms"] or 0 for row in rows]]
+        kept = {row["version"] for n, row in enumerate(rows) if n < keep or ended[n] > limit}
         fs, folder = self._files("versions")
         old = [s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName() not in kept]
         self._delete(old)
         # one small file a version; those of kept versions are the newest
         fs, folder = self._files("log")
         parts = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
-        for status in sorted(parts, key=lambda s: s.getModificationTime())[: -8 * keep]:
+        for status in sorted(parts, key=lambda s: s.getModificationTime())[: -8 * max(keep, len(kept))]:
             fs.delete(status.getPath(), False)
         return len(old)
 

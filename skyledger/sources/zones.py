@@ -36,13 +36,18 @@ def checked(df: DataFrame, what: str, missing_ok: bool) -> DataFrame:
 _RAW_FOLDERS = ["issue_date", "issue", "batch"]
 
 
-def write_raw(df: DataFrame, root: str, batch: int = 0) -> None:
-    """Write issues; writing an issue again replaces it.
+_COMMITS = "issue_date STRING, issue STRING, batch BIGINT, whole BOOLEAN"
+
+
+def write_raw(df: DataFrame, root: str, batch: int = 0, whole: bool = False) -> None:
+    """Write issues as one delivery; readers see it once its commits are logged.
 
     One folder per issue time stands for one file per issue: a crowded issue
     can then be many files, written by many tasks. Only rows of the same
     ``batch`` are replaced, so a stream may bring an issue in pieces and still
-    repeat a batch safely.
+    repeat a batch safely. A ``whole`` delivery replaces what batches before it
+    brought for its issues. The rows are computed twice, for the files and for
+    the log; persist what is costly.
     """
     keyed = (
         df.withColumn("issue_date", F.substring("basetime", 1, 8))
@@ -56,6 +61,18 @@ def write_raw(df: DataFrame, root: str, batch: int = 0) -> None:
         .partitionBy(*_RAW_FOLDERS)
         .parquet(root)
     )
+    log = keyed.select(*_RAW_FOLDERS).distinct().withColumn("whole", F.lit(whole))
+    compact(log, ["issue_date"]).write.mode("append").partitionBy("issue_date").parquet(f"{root}/_commits")
+
+
+def raw_commits(spark: SparkSession, root: str, days: str = "*") -> DataFrame | None:
+    """(issue, batch) of the deliveries that are current; None for a folder without a log."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_commits")
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return None
+    log = _read_folders(spark, f"{root}/_commits", f"issue_date={days}", T.StructType.fromDDL(_COMMITS))
+    batches = log.groupBy("issue").agg(F.collect_set("batch").alias("batches"), F.max(F.when(F.col("whole"), F.col("batch"))).alias("since"))
+    return batches.select("issue", "since", F.explode("batches").alias("batch")).where("since IS NULL OR batch >= since").drop("since")
 
 
 def _read_folders(spark: SparkSession, root: str, folders: str, schema: T.StructType) -> DataFrame:
@@ -70,10 +87,17 @@ def _read_folders(spark: SparkSession, root: str, folders: str, schema: T.Struct
 
 def read_raw(spark: SparkSession, root: str, feed: str, start: date, end: date | None = None,
              missing_ok: bool = False) -> DataFrame:
-    """Raw rows of the given days, with ``issue`` (12 digits) and ``batch`` from the folder."""
+    """Raw rows of the given days, with ``issue`` (12 digits) and ``batch`` from the folder.
+
+    Of an issue that was delivered whole more than once, the last delivery and
+    what came after it are read; what no commit names is not.
+    """
     days = ",".join(_days(start, end or start))
     schema = _plus(feed, T.StringType(), "issue_date", "issue").add("batch", T.LongType())
     df = _read_folders(spark, root, f"issue_date={{{days}}}", schema)
+    current = raw_commits(spark, root, f"{{{days}}}")
+    if current is not None:
+        df = df.join(current, ["issue", "batch"], "left_semi")
     return checked(df, f"{root} for {days}", missing_ok).drop("issue_date")
 
 

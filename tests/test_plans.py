@@ -5,14 +5,18 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 from test_archive import raw_rows
 from weather import SHORT, ULTRA, frame, state
 
 from skyledger.constants import NOW
 from skyledger.lens import rows as lens
 from skyledger.lens.queries import QUERIES
-from skyledger.plans import archive, publish, views, weekly
+from skyledger.plans import archive, ingest, publish, views, weekly
 from skyledger.sources import zones
+from skyledger.sources.dimensions import default_icons
+from skyledger.sources.landing import read_landing
+from skyledger.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,7 +63,7 @@ def test_views_combine_before_their_first_shuffle(spark, feed, table):
         assert "SortAggregate" not in below, layout
 
 
-NO_STREAM_OR_WRITE = [n for n in QUERIES if not n.startswith(("stream_", "rollup_", "serve_", "ingest_state", "weekly_table", "snapshot_store"))]
+NO_STREAM_OR_WRITE = [n for n in QUERIES if not n.startswith(("stream_", "rollup_", "serve_", "ingest_state", "weekly_table", "snapshot_store", "raw_"))]
 
 
 @pytest.mark.parametrize("name", NO_STREAM_OR_WRITE)
@@ -69,13 +73,42 @@ def test_no_python_and_no_cross_join(spark, name):
         assert word not in text, name
 
 
-def test_ingest_does_not_shuffle(spark):
-    for feed in ("ingest_now", "ingest_ultrashort", "ingest_short"):
-        text = plan(QUERIES[feed](spark, SF))
-        assert "Exchange hashpartitioning" not in text, feed
+def test_ingest_does_not_shuffle(spark, root):
+    """The parse of landed documents is narrow."""
+    for feed, texts in (("now", lens.now_texts), (ULTRA, lens.ultra_texts), (SHORT, lens.short_texts)):
+        texts(lens.base(spark, SF)).select("value").write.text(f"{root}/{feed}")
+        docs = read_landing(spark, f"{root}/{feed}")
+        text = plan(ingest.parse(feed, docs, lens.regions(spark, SF), default_icons(spark)))
+        assert "Exchange hashpartitioning" not in text and "RoundRobin" not in text, feed
         assert "SortMergeJoin" not in text, feed
 
 
+def test_payload_work_uses_all_cores(spark):
+    """Events are one file that cannot be split; they are dealt out before their payloads are made and parsed."""
+    for name in ("ingest_now", "ingest_ultrashort", "ingest_short", "horizon_match", "pivot_items"):
+        text = plan(QUERIES[name](spark, SF))
+        below = text[text.rindex("Exchange RoundRobinPartitioning(8)"):]
+        assert "named_struct" not in below, name
+
+
+def test_redelivery_reads_only_the_buckets_of_a_batch(spark, root):
+    def write(ids):
+        rows = spark.createDataFrame([(i, f"2024010{1 + i % 3}") for i in ids], "id int, day string")
+        rows.write.mode("append").parquet(f"{root}/in")
+        jobs.first_copies(spark.readStream.schema("id int, day string").parquet(f"{root}/in"), ["id"], "day", f"{root}/out", f"{root}/checkpoint")
+
+    write(range(300))
+    write([3, 300])
+    batch = spark.createDataFrame([(6, "20240101")], "id int, day string").withColumn("bucket", jobs.key_bucket(["id"]))
+    seen = jobs.seen_keys(spark, f"{root}/out", "id INT", "day", "string", 9)
+    new = jobs.not_seen(batch, seen, ["id"], "day")
+    assert new.count() == 0 and jobs.not_seen(batch.withColumn("id", F.lit(-1)), seen, ["id"], "day").count() == 1
+    scan = next(part for part in details(new).split("\n\n") if "ReadSchema: struct<id:int,bucket:int>" in part)
+    assert "20240101" in scan.split("PartitionFilters: ")[1].split("\n")[0]
+    assert "bucket" in scan.split("PushedFilters: ")[1].split("\n")[0]
+    assert spark.read.parquet(f"{root}/out").count() == 301
+
+
 def test_latest_row_is_limited_before_the_shuffle(spark):
     text = plan(QUERIES["snapshot_ultra"](spark, SF))
     assert text.count("WindowGroupLimit") == 2

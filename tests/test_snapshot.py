@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from datetime import timedelta
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,15 +65,37 @@ def test_update_by_issue(spark, store):
     assert store.update(rows(spark, "202401010130", "a", REH=1), order)
     assert not store.update(rows(spark, "202401010030", "ab", REH=9), order)  # older, late
     assert store.update(rows(spark, "202401010130", "b", REH=1), order)  # rest of the same issue
-    assert store.update(rows(spark, "202401010130", "b", hours=(2,), REH=0), order)  # sent again
+    assert store.update(rows(spark, "202401010130", "b", hours=(2,), REH=5), order)  # a later row in the order
+    assert store.update(rows(spark, "202401010130", "b", hours=(1, 2), REH=0), order)  # arrives last, but comes first in it
     assert held(store) == [
-        ("a", "202401010130", 1, 1), ("a", "202401010130", 2, 1), ("b", "202401010130", 1, 1), ("b", "202401010130", 2, 0)]
+        ("a", "202401010130", 1, 1), ("a", "202401010130", 2, 1), ("b", "202401010130", 1, 1), ("b", "202401010130", 2, 5)]
     mixed = rows(spark, "202401010230", "c", REH=3).unionByName(rows(spark, "202401010030", "d", REH=3))
     assert store.update(mixed, order)
     assert {c for c, *_ in held(store)} == {"c"}
 
 
-def test_updates_keep_few_versions(spark, store, tmp_path):
+@pytest.mark.parametrize("turn", list(permutations(range(3))))
+def test_pieces_in_any_order_give_one_state(spark, store, turn):
+    pieces = [rows(spark, "202401010130", "ab", REH=n).withColumn("n", F.lit(n)) for n in range(3)]
+    pieces[1] = pieces[1].where("city = 'a'").unionByName(rows(spark, "202401010130", "b", REH=1).withColumn("n", F.lit(9)))
+    for n in (*turn, turn[0]):  # and one of them twice
+        store.update(pieces[n], [F.col("n")])
+    assert held(store) == [(c, "202401010130", h, reh) for c, reh in (("a", 2), ("b", 1)) for h in (1, 2)]
+    assert "_rank_of_row" not in store.read().columns
+
+
+def test_a_reader_is_not_disturbed_by_many_updates(spark, store, tmp_path):
+    store.update(rows(spark, "202401010030", "ab", REH=7), [F.col("REH")])
+    reader = store.read()
+    for hour in range(1, 4):
+        assert store.update(rows(spark, f"20240101{hour:02d}30", "c", REH=hour), [F.col("REH")])
+    assert reader.count() == 4 and {r["REH"] for r in reader.collect()} == {7}
+    assert len(os.listdir(tmp_path / "state/versions")) == 4
+    assert store.expire(lease=timedelta(0)) == 2 and held(store) == [("c", "202401010330", h, 3) for h in (1, 2)]
+
+
+def test_updates_keep_few_versions(spark, root, tmp_path):
+    store = SnapshotStore(spark, f"{root}/state", ULTRA, lease=timedelta(0))
     for hour in range(4):
         assert store.update(rows(spark, f"20240101{hour:02d}30", "a"), [F.col("REH")])
     assert len(os.listdir(tmp_path / "state/versions")) == 2
@@ -93,7 +117,7 @@ def test_a_text_code_in_a_second_piece_does_not_stop_the_state(spark, store):
 def test_expire_keeps_the_newest(spark, store, tmp_path):
     for hour in range(4):
         store.replace(rows(spark, f"20240101{hour:02d}30", "a"))
-    assert store.expire(keep=2) == 2
+    assert store.expire(keep=2, lease=timedelta(0)) == 2
     assert len(os.listdir(tmp_path / "state/versions")) == 2
     assert {b for _, b, *_ in held(store)} == {"202401010330"}
 
