@@ -7,6 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import numpy as np
+
+from skyledger.llm.text import word_hashes
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -73,47 +77,69 @@ def decontaminated(rows: list[tuple], items: list[tuple], size: int = 10) -> dic
     return out
 
 
-def repeated_lines(rows: list[tuple], exact: int = 5, near: int = 10) -> dict:
+_ALONE = re.compile("([\u0E00-\u0E7F\u3005-\u3007\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF])")
+
+
+def one_edit(a: tuple, b: tuple) -> bool:
+    """Whether one word replaced, added or left out makes the one the other."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+
+def repeated_lines(rows: list[tuple], near: int = 10) -> dict:
+    """Every line against every earlier different one."""
     lines = []
     for i, text in rows:
         for place, line in enumerate((text or "").split("\n")):
-            w = tuple(WORD.findall(line))
-            if len(w) >= exact:
-                lines.append((i, place, w))
+            if words := tuple(WORD.findall(_ALONE.sub(r" \1 ", line))):
+                lines.append((i, place, words))
     lines.sort(key=lambda x: x[:2])
-    first = {}
+    first: dict[tuple, tuple] = {}
     for i, place, w in lines:
         first.setdefault(w, (i, place))
-    able, gone = [w for w in first if len(w) >= near], set()
-    replaced = defaultdict(list)
-    for w in able:
-        for k in range(len(w)):
-            replaced[w[:k], w[k + 1 :]].append(first[w])
-    for w in able:
-        for k in range(len(w)):
-            if min(replaced[w[:k], w[k + 1 :]]) < first[w]:
-                gone.add(w)
-            v = w[:k] + w[k + 1 :]
-            if v in first and len(v) >= near:
-                gone.add(w if first[v] < first[w] else v)
+    sized = defaultdict(list)
+    for w in first:
+        sized[len(w)].append(w)
+    edited = set()
+    for w in first:
+        earlier = (v for n in (len(w) - 1, len(w), len(w) + 1) if max(n, len(w)) >= near for v in sized[n])
+        if any(first[v] < first[w] and one_edit(v, w) for v in earlier):
+            edited.add(w)
     out = defaultdict(list)
     for i, place, w in lines:
-        if w in gone or first[w] != (i, place):
+        if w in edited or first[w] != (i, place):
             out[i].append(place)
     return dict(out)
 
 
-def sentences(text: str | None, piece: int = 16) -> list[tuple[str, ...]]:
-    out: list[list[str]] = []
-    end = 0
+_WIDE = "\u0E00-\u0E7F\u3005-\u3007\u3040-\u9FFF"
+_SPAN_WORD = re.compile(f"[{_WIDE}]|[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\u3000-\u303F\uFF01\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F\uFF61{_WIDE}]+")
+_SPAN_END = re.compile("[.!?](?![A-Za-z0-9\\x80-\U0010FFFF])|[\\n。！？．｡]")
+
+
+def sentences(text: str | None, piece: int = 10) -> list[tuple[str, ...]]:
+    """Words between ends of sentences; sentences of more than `piece` words begin anew at words that have the
+    least hash among some `piece` words in a row of the text, the first of equal ones."""
     text = lower(text)
-    for m in ALNUM.finditer(text):
-        fresh = not out or re.search(r"\n|[.!?][\x20\x09-\x0D]", text[end : m.start()])
-        if fresh or len(out[-1]) == piece:
+    found = list(_SPAN_WORD.finditer(text))
+    words = [m[0] for m in found]
+    data = "".join(words).encode()
+    ends = np.cumsum([len(w.encode()) for w in words], dtype=np.int64)
+    hashes = word_hashes(np.frombuffer(data, np.uint8), ends - [len(w.encode()) for w in words], ends).tolist() if words else []
+    least = {min(range(k, k + piece), key=lambda j: (hashes[j], j)) for k in range(len(words) - piece + 1)}
+    marks = {m.start() for m in _SPAN_END.finditer(text)}
+    out: list[list[int]] = []
+    for k, m in enumerate(found):
+        if not k or any(at in marks for at in range(found[k - 1].end(), m.start())):
             out.append([])
-        out[-1].append(lower(m[0]))
-        end = m.end()
-    return [tuple(x) for x in out]
+        out[-1].append(k)
+    parts: list[tuple[str, ...]] = []
+    for own in out:
+        cuts = [0, *[n for n, k in enumerate(own) if n and len(own) > piece and k in least], len(own)]
+        parts += [tuple(words[k] for k in own[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return parts
 
 
 def cut_sentences(rows: list[tuple], least: int = 3, words: int = 20) -> dict:
