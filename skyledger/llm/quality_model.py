@@ -5,17 +5,21 @@ abstain. Expectation-maximisation over the counts of vote patterns estimates how
 often each labeller gives each vote on documents of each class; documents with a
 given label keep it. The patterns are bounded by the labellers (VOTES to the
 power of their number), not by the corpus, so their counts over all documents
-reach the driver. The posteriors of the patterns label documents for a logistic
-scorer over hashed words and votes, which judges every document.
+reach the driver. The posteriors of the patterns label all documents for a
+logistic scorer over hashed words and votes, which judges every document: each
+hashed feature counts by its log-odds among good and other documents, where every
+document of the corpus adds its posterior to the sums of its features.
 
 The toxic labeller comes from the labels: the log-odds of each word, by language
 where the documents name one, among all labelled documents. It votes on documents
 with words that speak for toxic, and abstains on all others; its abstention is no
 evidence of any class.
 
-The scorer is fitted on at most about `sample` documents with a given label and
-as many without, chosen by a hash of their id: the bound is that parameter.
-Votes, counts, posteriors and scores cover all documents and whole texts.
+What is fitted on given labels sees a bounded sample of them, chosen by a hash of
+the id: the toxic words come from at most `labelled` documents, the scale of the
+log-odds from at most `sample` of them with `FEATURES` features in all. These bounds are
+parameters; the ids are broadcast, so no text is moved. Votes, counts, posteriors,
+sums of features and scores cover all documents and whole texts.
 
 Defined results: a text without words, or NULL, is junk and not kept; labels of
 unknown documents or with NULLs are not used; with no labels the labellers
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
@@ -39,7 +43,10 @@ GOOD, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
 CLASSES, VOTES = 3, 4
 BUCKETS = 1 << 20
 SAMPLE = 10_000
-UNLABELLED_WEIGHT = 0.2
+LABELLED = 40_000
+FEATURES = 8_000_000
+UNITS = 1 << 16
+ALL_WEIGHT = 10.0
 GIVEN_WEIGHT = 20
 ROUNDS = 60
 EPOCHS = 100
@@ -70,6 +77,8 @@ LABELLERS: dict[str, tuple[int, ...]] = {
     "toxic_words": (GOOD, TOXIC),
 }
 TOXIC_WORDS = list(LABELLERS).index("toxic_words")
+# buckets of words, votes, and the constant
+SIZE = BUCKETS + len(LABELLERS) * VOTES + 1
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -191,38 +200,45 @@ def _flat(features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def chances(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
     """Chance of each document to be good."""
     index, first, _ = _flat(features)
-    return 1 / (1 + np.exp(-(np.add.reduceat(weights[index], first) + weights[-1])))
+    return _logistic(np.add.reduceat(weights[index], first) + weights[-1])
 
 
-def fit(features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, ridge: float = RIDGE) -> np.ndarray:
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def fit(features: list[np.ndarray], target: np.ndarray, sums: np.ndarray, epochs: int = EPOCHS, ridge: float = RIDGE) -> np.ndarray:
     """Weights of a logistic model of the chance that a document is good; the last is the constant.
 
     Each feature counts by its shrunk log-odds among good and other documents, so
-    rare ones start near nothing. Whole-batch Adam steps in a fixed order follow,
-    so the same rows give the same weights.
+    rare ones start near nothing. Documents with a given label (`target`) count
+    for one each; `sums` are the posteriors of all documents by feature (good,
+    bad; last: all), and count together `ALL_WEIGHT` times as much as the
+    labelled ones. Whole-batch Adam steps in a fixed order fit the scale to the labels, so
+    the same rows give the same weights; without labels it stays as it starts.
     """
-    size = BUCKETS + len(LABELLERS) * VOTES + 1
-    if not len(features):
-        return np.zeros(size)
-    index, first, counts = _flat(features)
-    good, bad = weight * target, weight * (1 - target)
-    share = good.sum() / weight.sum()
-    odds = np.log((np.bincount(index, np.repeat(good, counts), size) + SHRINK * share) / (good.sum() + SHRINK * share))
-    odds -= np.log((np.bincount(index, np.repeat(bad, counts), size) + SHRINK * (1 - share)) / (bad.sum() + SHRINK * (1 - share)))
-    del features
-    values = odds[index].astype(np.float32)
-    weight = weight / weight.sum()
-    scale, bias = np.full(size, START), 0.0
-    speed, spread = np.zeros(size + 1), np.zeros(size + 1)
-    for step in range(1, epochs + 1):
-        chance = 1 / (1 + np.exp(-(np.add.reduceat(scale.astype(np.float32)[index] * values, first) + bias)))
-        error = weight * (chance - target)
-        slope = np.append(np.bincount(index, np.repeat(error.astype(np.float32), counts) * values, size) + ridge / len(target) * (scale - START), error.sum())
-        speed = 0.9 * speed + 0.1 * slope
-        spread = 0.99 * spread + 0.01 * slope**2
-        move = 0.02 * (speed / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
-        scale -= move[:-1]
-        bias -= move[-1]
+    index, first, counts = _flat(features) if features else (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
+    share = ALL_WEIGHT * max(len(target), 1) / max(sums[:, -1].sum(), 1e-9)
+    totals = [target.sum() + share * sums[0, -1], (1 - target).sum() + share * sums[1, -1]]
+    part = totals[0] / max(sum(totals), 1e-9)
+    odds = np.zeros(SIZE)
+    for sign, k, kind, shrink in ((1, 0, target, SHRINK * part), (-1, 1, 1 - target, SHRINK * (1 - part))):
+        seen = np.bincount(index, np.repeat(kind, counts), SIZE)[:SIZE] + share * sums[k]
+        odds += sign * np.log((seen + shrink + 1e-9) / (totals[k] + shrink + 1e-9))
+    odds[-1] = 0.0
+    scale, bias = np.full(SIZE, START), 0.0
+    if len(target):
+        values = odds[index].astype(np.float32)
+        speed, spread = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
+        for step in range(1, epochs + 1):
+            chance = _logistic(np.add.reduceat(scale.astype(np.float32)[index] * values, first) + bias)
+            error = (chance - target) / len(target)
+            slope = np.append(np.bincount(index, np.repeat(error.astype(np.float32), counts) * values, SIZE) + ridge / len(target) * (scale - START), error.sum())
+            speed = 0.9 * speed + 0.1 * slope
+            spread = 0.99 * spread + 0.01 * slope**2
+            move = 0.02 * (speed / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
+            scale -= move[:-1]
+            bias -= move[-1]
     out = scale * odds
     out[-1] = bias
     return out
@@ -250,15 +266,15 @@ def _label_rows(labels: DataFrame, id: str) -> DataFrame:
     return known.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: np.ndarray, all_clean: np.ndarray) -> np.ndarray:
+def log_odds(toxic: Column, clean: Column, all_toxic: Column, all_clean: Column) -> Column:
     """Shrunk log-odds of words that so many of all documents of a language have; 0 for words without evidence."""
-    share = all_toxic / np.maximum(all_toxic + all_clean, 1)
+    share = all_toxic / F.greatest(all_toxic + all_clean, F.lit(1))
     one, other = SHRINK * share + 1e-9, SHRINK * (1 - share) + 1e-9
-    return np.log((toxic + one) / (all_toxic + one)) - np.log((clean + other) / (all_clean + other))
+    return F.log((toxic + one) / (all_toxic + one)) - F.log((clean + other) / (all_clean + other))
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame | None, id: str, text: str, lang: str | None) -> np.ndarray:
-    """For each bucket of words by language, its log-odds for toxic among all labelled documents if they are strong, else 0."""
+def toxic_words(docs: DataFrame, labels: DataFrame | None, id: str, text: str, lang: str | None, labelled: int = LABELLED) -> np.ndarray:
+    """For each bucket of words by language, its log-odds for toxic among labelled documents if they are strong, else 0."""
     out = np.zeros(BUCKETS, np.float32)
     if labels is None:
         return out
@@ -280,19 +296,17 @@ def toxic_words(docs: DataFrame, labels: DataFrame | None, id: str, text: str, l
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), tongue, np.int64)), pa.array(words), *map(pa.array, sums)], names=["tongue", "word", "toxic", "clean"])
 
     names = [F.col(f"`{c}`") for c in dict.fromkeys([text, *([lang] if lang else [])])]
-    known = docs.select(F.col(f"`{id}`").alias("_id"), *names).join(_label_rows(labels, id).withColumnRenamed("id", "_id"), "_id").select(*names, "toxic")
+    # at most `labelled` rows of an id and a label
+    given = _label_rows(labels, id).select(F.col("id").alias("_id"), "toxic").orderBy(F.xxhash64("_id"), "_id").limit(labelled)
+    known = docs.select(F.col(f"`{id}`").alias("_id"), *names).join(F.broadcast(given), "_id").select(*names, "toxic")
     counts = known.mapInArrow(count, "tongue bigint, word bigint, toxic bigint, clean bigint").groupBy("tongue", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = stored(counts, "toxic-words")
-    totals = {r.tongue: (r.toxic, r.clean) for r in counts.where("word = -1").collect()}  # a row for each language
-    # at most BUCKETS rows for each language, of words that more than one toxic document has
-    table = counts.where("word >= 0 and toxic > 1").orderBy("tongue", "word").toArrow()
-    if not table.num_rows:
-        return out
-    tongue, word, toxic, clean = (np.asarray(table[c]) for c in ("tongue", "word", "toxic", "clean"))
-    whole = np.array([totals[t] for t in tongue.tolist()])
-    odds = log_odds(toxic, clean, whole[:, 0], whole[:, 1])
-    strong = odds >= STRONG
-    np.maximum.at(out, word[strong], odds[strong].astype(np.float32))
+    whole = counts.where("word = -1").select("tongue", F.col("toxic").alias("all_toxic"), F.col("clean").alias("all_clean"))  # a row for each language
+    odds = log_odds(F.col("toxic"), F.col("clean"), F.col("all_toxic"), F.col("all_clean"))
+    words = counts.where("word >= 0 and toxic > 1").join(whole, "tongue").withColumn("odds", odds).where(F.col("odds") >= STRONG)
+    # at most BUCKETS rows, whatever the languages
+    table = words.groupBy("word").agg(F.max("odds").alias("odds")).toArrow()
+    out[table["word"].to_numpy()] = table["odds"].to_numpy().astype(np.float32)
     return out
 
 
@@ -316,24 +330,46 @@ def train(docs: DataFrame, labels: DataFrame | None, toxic: np.ndarray, id: str
     votes = stored(docs.select(*dict.fromkeys([id, text, *tongue])).mapInArrow(vote, f"id {kind}, pattern bigint"), "votes")
     votes = stored(_given(labels, votes, id), "votes")
     # at most VOTES ** len(LABELLERS) patterns for each given class
-    rows = sorted(tuple(r) for r in votes.groupBy("pattern", "given").count().collect())
+    rows = [tuple(r) for r in votes.groupBy("pattern", "given").count().collect()]
+    # a pattern that only documents with labels have gets a posterior, too
+    rows = sorted([*rows, *((p, -1, 0) for p in {r[0] for r in rows} - {r[0] for r in rows if r[1] < 0})])
     patterns, given = np.array([_votes(r[0]) for r in rows], dtype=np.int64).reshape(-1, len(LABELLERS)), np.array([r[1] for r in rows], dtype=np.int64)
     posterior, _ = estimate(patterns, given, np.array([r[2] for r in rows], dtype=np.float64))
     good = {(r[0], r[1]): p for r, p in zip(rows, posterior[:, GOOD].tolist(), strict=True)}
+    units = {r[0]: round(good[r[0], -1] * UNITS) for r in rows if r[1] < 0}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, SIZE))
+        for batch in batches:
+            for part in byte_slices(batch, text):
+                found, features = votes_and_features(part.column(text), _tongues(part, lang), shared.value)
+                own = np.array([units[code] for code in _code(found).tolist()], np.float64)
+                index, _, counts = _flat(features)
+                for k, share in enumerate((own, UNITS - own)):
+                    sums[k] += np.bincount(index, np.repeat(share, counts), SIZE)
+                    sums[k, -1] += share.sum()  # the last counts documents
+        used = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(s[used].astype(np.int64)) for s in sums]], names=["feature", "good", "bad"])
+
+    each = docs.select(*dict.fromkeys([text, *tongue])).mapInArrow(add, "feature bigint, good bigint, bad bigint")
+    table = each.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # at most SIZE rows
+    sums = np.zeros((2, SIZE))
+    for k, name in enumerate(("good", "bad")):
+        sums[k, table["feature"].to_numpy()] = table[name].to_numpy() / UNITS
 
     order = F.xxhash64("id")
-    ids = votes.where("id is not null").groupBy("id").agg(F.min("pattern").alias("pattern"), F.min("given").alias("given"))
-    chosen = ids.where("given >= 0").orderBy(order, "id").limit(sample).union(ids.where("given < 0").orderBy(order, "id").limit(sample))
-    chosen = F.broadcast(stored(chosen, "sample"))  # 2 * sample rows
+    ids = votes.where("id is not null and given >= 0").groupBy("id").agg(F.min("pattern").alias("pattern"), F.min("given").alias("given"))
+    chosen = F.broadcast(stored(ids.orderBy(order, "id").limit(sample), "sample"))  # `sample` rows
     texts = docs.select(F.col(id).alias("id"), *dict.fromkeys([text, *tongue])).join(chosen, "id").select("id", *dict.fromkeys([text, *tongue]), "pattern", "given")
-    described = texts.mapInArrow(describe, f"id {kind}, pattern bigint, given int, features array<bigint>").dropDuplicates(["id"])
-    table = described.toArrow().sort_by("id")
+    described = stored(texts.mapInArrow(describe, f"id {kind}, pattern bigint, given int, features array<bigint>").dropDuplicates(["id"]), "described")
+    # of at most `sample` documents those whose features fit the bound
+    sizes = described.select("id", F.size("features").alias("n")).withColumn("all", F.sum("n").over(Window.orderBy(order, "id")))
+    table = described.join(F.broadcast(sizes.where(F.col("all") <= FEATURES).select("id")), "id").toArrow().sort_by("id")
     features = [np.asarray(x.values).astype(np.int32) for x in table["features"]]
     keys = zip(table["pattern"].to_pylist(), table["given"].to_pylist(), strict=True)
     target = np.array([good.get(k, 0.5) for k in keys])
-    weight = np.where(table["given"].to_numpy() >= 0, 1.0, UNLABELLED_WEIGHT)
     del table
-    return fit(features, target, weight)
+    return fit(features, target, sums)
 
 
 def scored(
