@@ -46,7 +46,7 @@ SAMPLE = 10_000
 LABELLED = 40_000
 FEATURES = 8_000_000
 UNITS = 1 << 16
-ALL_WEIGHT = 10.0
+ALL_WEIGHT = 20.0
 GIVEN_WEIGHT = 20
 ROUNDS = 60
 EPOCHS = 100
