@@ -8,15 +8,20 @@
 3. In each band bucket every member is paired with the least one. Bit counts of
    the packed signatures estimate the similarity, corrected for chance collisions
    of 4 bits; pairs well below the bound (0.2, about five standard deviations) go.
-   A bucket whose members are not all tied together by these pairs is compared in
-   blocks by bit counts, for what ties different components. Documents that
-   likely pairs tie together are a group: no pair outside a group is similar.
+   In a bucket whose members are not all tied together by these pairs, those
+   outside its largest component are compared with all others by bit counts, in
+   blocks, for what ties different components. Where they fill more than one
+   block, the bucket is split by the codes of later bands first (at 0.8 two sets
+   share fewer than three of 32 bands with probability 1.2e-5), so rows stay in
+   proportion to its members. Documents that likely pairs tie together are a
+   group: no pair outside a group is similar.
 4. Only texts of groups are shuffled, once. The pairs of step 3 are confirmed on
    whole sets and swallow groups of near copies without pairing all members. In
    a group that is still in several components, the members outside its largest
    one are compared on whole sets with all others, block against block; a task
    returns one link for each two components it joins, so neither buckets nor
-   groups are one task or become rows of all pairs.
+   groups are one task or become rows of all pairs. Blocks are bounded in rows
+   and in bytes of text.
 
 Defined results: a text of fewer words than a shingle is one shingle; without
 words, or NULL, it has no set and is linked with nothing. Rows that share a
@@ -41,6 +46,8 @@ BANDS = LANES // ROWS
 PACKED = LANES * BITS // 64
 MARGIN = 0.2
 BLOCK_ROWS = 256
+BLOCK_BYTES = 1 << 23
+DEPTH = 3
 _LOW = 0x1111111111111111
 _RANDOM = np.random.default_rng(20250118)
 _A = _RANDOM.integers(0, 1 << 31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -228,11 +235,24 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(~first)
 
 
+def _apart(rows: DataFrame, key: str, firsts: Column, others: Column) -> DataFrame:
+    """The rows outside the largest component of a key, in blocks, against all rows; the largest one is not paired with itself."""
+    firsts, others = F.ceil(firsts).cast("int"), F.ceil(others).cast("int")
+    own = F.when(F.col("root") == F.col("largest"), firsts + F.pmod(F.xxhash64("id"), others)).otherwise(F.pmod(F.xxhash64("id"), firsts))
+    return _block_pairs(rows, key, firsts + others, own, firsts)
+
+
+def _open(tied: DataFrame) -> DataFrame:
+    """Members of the buckets that lie in several components, with the largest one, its size and the members in all."""
+    parts = tied.groupBy("code", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("code").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    return tied.join(stored(sizes.where("most < all"), "buckets"), "code")
+
+
 def _across(members: DataFrame, kind: str, percent: int) -> DataFrame:
     """Pairs of ids that tie different components of one bucket by their bit counts, one for each two components a task joins."""
-    sizes = members.groupBy("code").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = members.join(stored(sizes, "buckets"), "code")
-    rows = _block_pairs(rows, "code", F.col("blocks"), F.pmod(F.xxhash64("id"), F.col("blocks")), F.col("blocks"))
+    rows = _apart(members, "code", (F.col("all") - F.col("most")) / BLOCK_ROWS, F.col("most") / BLOCK_ROWS)
+    rows = rows.select("code", "low", "high", "own", "id", "root", "n_shingles", *SIGNATURE)
     bound = percent / 100 - MARGIN
 
     def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,13 +279,17 @@ def _across(members: DataFrame, kind: str, percent: int) -> DataFrame:
 
 def _within(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links on whole sets between the components of a group: all outside the largest against all others, in blocks."""
-    parts = texts.groupBy("group", "root").agg(F.count("*").alias("n"))
-    groups = parts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    parts = texts.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    size = F.struct("n", "root")
+    groups = parts.groupBy("group").agg(
+        F.max_by("root", size).alias("largest"),
+        *[x.alias(c) for x, c in ((F.max("n"), "most"), (F.sum("n"), "all"), (F.max_by("bytes", size), "most_bytes"), (F.sum("bytes"), "all_bytes"))],
+    )
     groups = stored(groups.where("most < all"), "groups")
-    rows = texts.join(groups, "group")
-    firsts, others = (F.ceil(x / BLOCK_ROWS).cast("int") for x in (F.col("all") - F.col("most"), F.col("most")))
-    own = F.when(F.col("root") == F.col("largest"), firsts + F.pmod(F.xxhash64("id"), others)).otherwise(F.pmod(F.xxhash64("id"), firsts))
-    rows = _block_pairs(rows, "group", firsts + others, own, firsts).select("group", "low", "high", "own", "id", "root", "text")
+    blocks = lambda n, size: F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES)
+    firsts = blocks(F.col("all") - F.col("most"), F.col("all_bytes") - F.col("most_bytes"))
+    rows = _apart(texts.join(groups, "group"), "group", firsts, blocks(F.col("most"), F.col("most_bytes")))
+    rows = rows.select("group", "low", "high", "own", "id", "root", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,34 +319,59 @@ def _within(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(links, f"a {kind}, b {kind}")
 
 
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _members(coded: DataFrame, hub: Column) -> DataFrame:
+    """The rows of codes that two ids or more have, with one of these as the hub."""
+    hubs = coded.groupBy("code").agg(hub.alias("hub"), F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
+    return stored(coded.join(stored(hubs.select("code", "hub"), "hubs"), "code"), "members")
+
+
+def _stars(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of a bucket's hub with each other member."""
+    stars = members.where("id != hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    return stored(_likely(stars, reps, percent), "likely")
+
+
+def _ties(members: DataFrame, likely: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The likely pairs with what else ties components of one bucket."""
+    kind = reps.schema["id"].dataType.simpleString()
+    crowded = F.col("all") - F.col("most") > BLOCK_ROWS
+    for depth in range(1, DEPTH + 1):
+        # Buckets whose members lie in several components hold pairs not looked at yet.
+        tied = stored(_labelled(members.select("code", "id", "band"), components(likely)), "tied")
+        open_ = stored(_open(tied), "open")
+        ready = open_ if depth == DEPTH else open_.where(~crowded)
+        likely = likely.union(stored(_across(ready.join(reps.select("id", "n_shingles", *SIGNATURE), "id"), kind, percent), "across"))
+        rest = open_.where(crowded).select("id", "code", F.col("band").alias("before"))
+        if depth == DEPTH or rest.isEmpty():
+            break
+        # A crowded bucket is split by the codes of each later band.
+        codes = reps.select("id", F.posexplode("bands").alias("band", "next"))
+        coded = rest.join(codes, "id").where("band > before").select("id", "band", F.xxhash64("code", "next").alias("code"))
+        members = _members(stored(coded, "coded"), F.min_by("id", F.struct(F.xxhash64("id", "code"), "id")))
+        likely = likely.union(_stars(members, reps, percent))
+    return likely
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: `id`, n_shingles, component_id (least id that links reach) and kept."""
-    kind = docs.schema[id].dataType.simpleString()
     signed = stored(signatures(docs, id, text, words), "signatures")
     equal = ["set_a", "set_b"]
     sets = stored(signed.where("n_shingles > 0 and id is not null").groupBy(*equal).agg(F.min("id").alias("id")), "sets")
     reps = stored(signed.where("n_shingles > 0").join(sets, ["id", *equal], "left_semi").dropDuplicates(["id", *equal]), "reps")
-    coded = reps.select("id", F.explode("bands").alias("code"))
-    hubs = stored(coded.groupBy("code").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last"), "hubs")
-    members = stored(coded.join(hubs, "code").select("code", "id", "hub"), "members")
-    stars = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    likely = stored(_likely(stars, reps, percent), "likely")
-
-    def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    # Buckets whose members lie in several components hold pairs not looked at yet.
-    tied = stored(labelled(members.select("code", "id"), components(likely)), "tied")
-    mixed = stored(tied.groupBy("code").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("code"), "mixed")
-    open_ = stored(tied.join(mixed, "code", "left_semi").join(reps.select("id", "n_shingles", *SIGNATURE), "id"), "open")
-    groups = components(likely.union(_across(open_, kind, percent)))
+    members = _members(reps.select("id", F.posexplode("bands").alias("band", "code")), F.min("id"))
+    likely = _stars(members, reps, percent)
+    groups = components(_ties(members, likely, reps, percent))
     grouped = groups.union(groups.select("root", "root").distinct()).select(F.col("node").alias("id"), F.col("root").alias("group"))
 
     # The one shuffle of texts; by sorting at every size, as the group list grows with the corpus.
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(stored(grouped, "grouped").hint("merge"), "id")
     texts = stored(texts, "texts")
     links = stored(_confirmed(likely, texts, words, percent), "confirmed")
-    more = _within(stored(labelled(texts, components(links)), "labelled"), words, percent)
+    more = _within(stored(_labelled(texts, components(links)), "labelled"), words, percent)
     roots = components(links.union(more))
 
     rooted = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*equal, F.coalesce("root", "id").alias("component_id"))

@@ -140,6 +140,7 @@ def test_near_copies_in_many_blocks(spark, monkeypatch):
     import brute
 
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1000)
     pick = random.Random(5)
     base = [f"w{n}" for n in range(60)]
     rows, text = [], list(base)
