@@ -34,13 +34,15 @@ from skyledger.llm.storage import stored
 
 EXACT = 1
 NEAR = 10
-_SPACE = r"[\x20\x09-\x0D]+"
 _ALONE = r"([\u0E00-\u0E7F\u3005-\u3007\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 LINE = ["line_a", "line_b"]
 
 
-def _words(line: Column | str) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(line, _ALONE, " $1 "), _SPACE), "")
+def _words(line: Column) -> Column:
+    """The words of a line; patterns are applied only to lines with a character they may match."""
+    apart = F.when(F.octet_length(line) != F.length(line), F.regexp_replace(line, _ALONE, " $1 ")).otherwise(line)
+    spaced = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(apart, r"[\x09-\x0D]", " ")).otherwise(apart)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -59,12 +61,15 @@ def _xor(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("bigint"), lambda total, x: total.bitwiseXOR(x))
 
 
-def _lines(docs: DataFrame, id: str, text: str, exact: int) -> DataFrame:
-    """Lines of at least `exact` words: document, place, 128-bit hash, number of words, half keys."""
+def _lines(docs: DataFrame, id: str, text: str, exact: int, near: int) -> DataFrame:
+    """Lines of at least `exact` words: document, place, 128-bit hash, number of words, and half keys of lines long enough for edits."""
     rows = docs.where(f"`{id}` is not null").select(F.col(id).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode_outer(F.split(text, "\n")).alias("place", "line"))
-    rows = rows.withColumn("words", _words("line")).withColumn("n", F.size("words")).where("line is not null").where(F.col("n") >= exact)
+    # A blank line is told by a look at it; a bound on the words would be pushed below them and count them twice.
+    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")) if exact > 0 else rows.where("line is not null")
+    rows = rows.withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words"))
+    rows = rows.where(F.col("n") >= exact) if exact > 1 else rows
     hashes = [F.xxhash64("words").alias(LINE[0]), F.xxhash64(F.lit("second"), F.col("words")).alias(LINE[1])]
-    return rows.select("doc", "body", "place", "n", *hashes, _halves(F.col("words"), F.col("n")).alias("halves"))
+    return rows.select("doc", "body", "place", "n", *hashes, F.when(F.col("n") >= near - 1, _halves(F.col("words"), F.col("n"))).alias("halves"))
 
 
 def _variants(rows: DataFrame, near: int) -> DataFrame:
@@ -143,7 +148,7 @@ def _near(lines: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", exact: int = EXACT, near: int = NEAR) -> DataFrame:
     """`doc`, `body` (hash of the text) and the sorted places of the lines that go, for documents that lose any."""
-    lines = stored(_lines(docs, id, text, exact), "lines")
+    lines = stored(_lines(docs, id, text, exact, near), "lines")
     order = F.struct("doc", "body", "place")
     reps = stored(lines.groupBy(*LINE, "n", "halves").agg(F.min(order).alias("first"), F.max(order).alias("last")), "representatives")
     close = stored(_near(lines, reps.where(F.col("n") >= near - 1), docs, id, text, near), "near")
