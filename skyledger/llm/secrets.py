@@ -22,7 +22,7 @@ scanned each; kept columns named like a result column give way to it.
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
 import hashlib
 import re
@@ -41,11 +41,12 @@ KINDS = ("assign", "access", "hex")
 # Compressed content is read in parts of this many bytes, each with the end of the one before.
 CHUNK = 1 << 24
 TAIL = 4096
+STEP = 1 << 16
 # The base patterns.
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]+")
 _LEAST = {"assign": 12, "access": 18, "hex": 16}
+_HEX = re.compile(rf"[0-9a-f]{{{_LEAST['hex']},}}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
@@ -53,11 +54,14 @@ _ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
 # Where compressed streams may begin.
 _HEADER = re.compile(rb"\x1f\x8b\x08|\x78(?=[\x01\x5e\x9c\xda])|BZh[1-9]")
+# What decoded bytes need for a secret or a further layer.
+_SEED = re.compile(rb"[A-Za-z0-9+/_-]{16}|AKIA|%[0-9A-Fa-f]{2}|\\[uxU]|&#|\0|(?i:passw|secret|token|api_?key)|" + _HEADER.pattern)
 # Escapes of bytes, the plain characters between them, and stretches of both.
 _BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|[\x21-\x7e]")
 _BYTES = re.compile(r"[\x21-\x7e]+")
 
 _HEX_BYTE = np.isin(np.arange(256), list(b"0123456789abcdef"))
+_ALPHABET = bytes.maketrans(b"-_", b"+/")
 _BASE64_BYTE = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
 
 # A layer: its text, and for each of its characters where it begins and ends in the original, and whether the last step decoded it.
@@ -76,8 +80,7 @@ def base_spans(text: str) -> Iterator[Span]:
             if len(m[0]) >= _LEAST["access"]:
                 yield m.start(), m.end(), "access"
     for m in _HEX.finditer(text):
-        if len(m[0]) >= _LEAST["hex"]:
-            yield m.start(), m.end(), "hex"
+        yield m.start(), m.end(), "hex"
 
 
 def _unescaped(text: str, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
@@ -179,10 +182,34 @@ def _unfolded(chunks: Iterator[bytes]) -> Iterator[bytes]:
     yield from chunks
 
 
-def _texts(raw: bytes) -> Iterator[str]:
-    """Text of compressed bytes in parts cut at white space; each begins with the last TAIL characters of the one before."""
+def _members(raw: memoryview, used: list[int]) -> Iterator[bytes]:
+    """The content of compressed members from the first byte on; `used` gets the bytes of those that ended well. A damaged one gives what it can."""
+    at = 0
+    while (engine := _engine(bytes(raw[at : at + 3]))) is not None:
+        until, chunk = at, b""
+        while not engine.eof:
+            if not chunk and getattr(engine, "needs_input", True):
+                chunk = bytes(raw[until : until + STEP])
+                until += len(chunk)
+                if not chunk:
+                    return
+            try:
+                out = engine.decompress(chunk, CHUNK)
+            except (zlib.error, OSError):
+                return
+            chunk = getattr(engine, "unconsumed_tail", b"")
+            if out:
+                yield out
+        at = until - len(engine.unused_data)
+        while at < len(raw) and not raw[at]:
+            at += 1
+        used[0] = at
+
+
+def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
+    """Text of compressed content in parts cut at white space; each begins with the last TAIL characters of the one before."""
     held = b""
-    for chunk in _unfolded(iter([raw])):
+    for chunk in _unfolded(chunks):
         held += chunk
         cut = max(held.rfind(b" "), held.rfind(b"\n"))
         if len(held) >= CHUNK and cut > TAIL:
@@ -204,12 +231,17 @@ def _readings(raw: bytes) -> Iterator[tuple[str, int, int]]:
 
 
 def _streams(raw: bytes) -> Iterator[tuple[int, str]]:
-    """The content of each compressed stream that begins anywhere in the bytes, and where."""
-    for m in _HEADER.finditer(raw):
-        if _engine(raw[m.start() :]) is not None:
-            for text in _texts(raw[m.start() :]):
-                if text:
-                    yield m.start(), text
+    """The content of each compressed stream that begins anywhere in the bytes, and where.
+
+    A header that no stream follows gives nothing, as the bytes are read plainly too; the search goes on behind whole streams.
+    """
+    view, at = memoryview(raw), 0
+    while m := _HEADER.search(raw, at):
+        used = [1]
+        for text in _texts(_members(view[m.start() :], used)):
+            if text:
+                yield m.start(), text
+        at = m.start() + used[0]
 
 
 def _from_bytes(raw: bytes, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
@@ -227,26 +259,31 @@ def _compressed(raw: bytes, low: np.ndarray, high: np.ndarray) -> Iterator[Layer
 
 def _decoded(stretch: str, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
     """What a base64 stretch holds from any of its characters on: the four alignments show all of them."""
-    inside = np.flatnonzero(_BASE64_BYTE[np.frombuffer(stretch.encode("ascii"), dtype=np.uint8)])
-    body = "".join(stretch[i] for i in inside).replace("-", "+").replace("_", "/") if len(inside) < len(stretch) else stretch.replace("-", "+").replace("_", "/")
+    body = stretch.encode("ascii").translate(_ALPHABET, b"\r\n\t ")
+    inside = None
     for first in range(4):
         part = body[first:]
         if len(part) % 4 == 1:
             part = part[:-1]
-        raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        if not raw:
+        raw = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+        if not _SEED.search(raw):
             continue
+        if inside is None:
+            inside = np.flatnonzero(_BASE64_BYTE[np.frombuffer(stretch.encode("ascii"), dtype=np.uint8)])
         group = first + np.arange(len(raw)) // 3 * 4
         yield from _from_bytes(raw, low[inside[group]], high[inside[np.minimum(group + 3, len(body) - 1)]])
 
 
 def _escaped_bytes(text: str, low: np.ndarray, high: np.ndarray) -> Iterator[Layer]:
     """Compressed content and UTF-16 in bytes written as escapes, among plain characters or not."""
-    for stretch in _BYTES.finditer(text):
-        if not _ESCAPE.search(stretch[0]):
-            continue
+    done = 0
+    while escape := _ESCAPE.search(text, done):
+        begin, end = escape.start(), _BYTES.match(text, escape.start()).end()
+        while begin > done and "\x21" <= text[begin - 1] <= "\x7e":
+            begin -= 1
+        done = end
         raw, places = bytearray(), []
-        for m in _BYTE.finditer(text, stretch.start(), stretch.end()):
+        for m in _BYTE.finditer(text, begin, end):
             digits = next(filter(None, m.groups()[:4]), None)
             code = int(digits, 16) if digits else int(m[5]) if m[5] else ord(m[0])
             if code < 256:

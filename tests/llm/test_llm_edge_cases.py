@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -304,5 +307,40 @@ def test_each_equal_line_goes_but_blank_ones(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     got = {r.doc: set(r.places) for r in line_dedup.repeated_lines(docs).collect()}
-    want = brute.repeated_lines(rows, exact=1)
-    assert all(set(places) <= got.get(i, set()) for i, places in want.items())
+    assert got == {i: set(places) for i, places in brute.repeated_lines(rows).items()}
+
+
+def test_lines_of_any_white_space_and_script(spark):
+    """Words are told apart by every kind of white space, and by characters of scripts without spaces."""
+    import brute
+
+    words = [f"w{n}" for n in range(10)]
+    rows = [
+        (1, " ".join(words) + "\n\t\x0b \r\n漢字かな交じり文です\n"),
+        (2, "\t".join(words) + "\nx\x0by\x0cz\n漢 字かな交じり文です"),
+        (3, "\x0c".join([*words[:4], "other", *words[5:]]) + " \r\nx y z\r\n\u00a0\n漢字かな交じり文だす"),
+        (4, "é " + "  ".join(words) + "\n\u00a0"),
+    ]
+    got = {r.doc: list(r.places) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.repeated_lines(rows)
+
+
+def test_false_headers_give_no_layers():
+    """Bytes that only look like the start of a compressed stream add nothing, so layers stay in proportion to the text."""
+    import base64
+
+    text = base64.b64encode(random.Random(4).randbytes(300_000)).decode()
+    at = np.arange(len(text))
+    layers = list(secrets._layers(text, at, at + 1, np.ones(len(text), dtype=bool)))
+    assert sum(len(layer[0]) for layer in layers) < 10 * len(text)
+
+
+def test_members_one_after_another_are_read_once():
+    import base64
+    import gzip
+
+    members = [gzip.compress(b"password=%012d " % n) for n in range(300)]
+    raw = b"".join(members)
+    assert len(list(secrets._streams(raw))) == 1
+    text = base64.b64encode(raw).decode()
+    assert {(a, b) for a, b, kind in secrets.decoded_spans(text) if kind == "assign"} == {(0, len(text))}
