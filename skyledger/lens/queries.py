@@ -17,7 +17,7 @@ from skyledger.lens import formulas as L
 from skyledger.lens import rows as lens
 from skyledger.functions.sql import register_functions
 from skyledger.operators import dims, horizon, pivot, ranking
-from skyledger.operators.layout import spread
+from skyledger.operators.layout import deal
 from skyledger.operators.typing import REJECTED, accepted, rejected
 from skyledger.plans import archive, ingest, mapview, publish, views, weekly
 from skyledger.plans.latest import latest_rows
@@ -217,9 +217,15 @@ def horizon_slots(spark: SparkSession, sf: str) -> DataFrame:
     return flat(horizon.explode_slots(events, hour).drop("ts"))
 
 
+def _dealt_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events dealt over all cores for the work on their payloads; counting reads the footers only."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    return deal(events, events.count())
+
+
 def _named_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as cities of their own, dealt over all cores for the work on their payloads."""
-    return spread(spark.read.parquet(f"{sf}/events.parquet")).withColumn("n_name", F.col("event_id").cast("string"))
+    """Events as cities of their own."""
+    return _dealt_events(spark, sf).withColumn("n_name", F.col("event_id").cast("string"))
 
 
 def horizon_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +247,7 @@ def grid_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf: str, feed: str) -> DataFrame:
-    docs = lens.documents(lens.place(spread(spark.read.parquet(f"{sf}/events.parquet")), sf), feed)
+    docs = lens.documents(lens.place(_dealt_events(spark, sf), sf), feed)
     return ingest.parse(feed, docs, lens.regions(spark, sf), dimensions.default_icons(spark))
 
 
@@ -292,7 +298,7 @@ def regions_json(spark: SparkSession, sf: str) -> DataFrame:
     info = F.struct("province", "lat", "lng")
     cities = F.map_from_entries(F.collect_list(F.struct("city", info)))  # one row a city
     lens.regions(spark, sf).select(F.to_json(cities).alias("value")).coalesce(1).write.text(path)
-    docs = lens.documents(lens.place(spread(spark.read.parquet(f"{sf}/events.parquet")), sf), NOW)
+    docs = lens.documents(lens.place(_dealt_events(spark, sf), sf), NOW)
     parsed = accepted(ingest.parse_now(docs, dimensions.load_regions(spark, path)))
     return flat(parsed.groupBy("city", "province", "lat", "lng").agg(F.count("*").alias("rows")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,76 +60,94 @@ def state(spark: SparkSession, sf: str, feed: str) -> DataFrame:
 
 
 # -- payloads ---------------------------------------------------------------
+#
+# The texts are put together as text: each value is worked out once, by compiled
+# code. Values are plain (no character that JSON escapes), the city may be anything.
+
+
+def _item(category: str, value: str, field: str = "fcstValue", at: str = "''") -> str:
+    """An item as JSON text; ``at`` is the text of its forecast time."""
+    start = f"""'{{"category":"{category}",', {at}, '"{field}":'"""
+    return f"""concat({start}, coalesce(concat('"', CAST({value} AS STRING), '"'), 'null'), '}}')"""
+
+
+def _at(day: str, hour: str) -> str:
+    return f"""concat('"fcstDate":"', {day}, '","fcstTime":"', {hour}, '",')"""
 
 
-def _item(category: str, value: str, field: str = "fcstValue", **at: str) -> str:
-    parts = [f"'category', '{category}'", *[f"'{n}', {e}" for n, e in at.items()], f"'{field}', CAST({value} AS STRING)"]
-    return f"named_struct({', '.join(parts)})"
+def _with(i: int, text: str) -> str:
+    """A formula over ``i`` for one value of it."""
+    return re.sub(r"\bi\b", str(i), text)
 
 
-def _document(basetime: str, items: str) -> list[str]:
-    response = f"named_struct('body', named_struct('items', named_struct('item', {items})))"
-    doc = f"named_struct('city', n_name, 'basetime', {basetime}, 'crawled_at', ts, 'response', {response})"
-    return ["event_id", f"to_json({doc}, map('ignoreNullFields', 'false')) AS value"]
+def _document(events: DataFrame, basetime: str, items: list[str]) -> DataFrame:
+    head = f"to_json(named_struct('city', n_name, 'basetime', {basetime}, 'crawled_at', ts), map('ignoreNullFields', 'false'))"
+    start = f"""concat(substr({head}, 1, length({head}) - 1), ',"response":{{"body":{{"items":{{"item":[')"""
+    # With a lambda, the projection is compiled as many short methods. As part of a whole stage it would be
+    # one method, too long for the JIT, and run many times slower. What the lambda is over is not compiled.
+    start = f"array_join(transform(array({start}), text -> text), '')"
+    return events.selectExpr("event_id", f"concat({start}, concat_ws(',', {', '.join(items)}), ']}}}}}}}}') AS value")
 
 
 def now_texts(events: DataFrame) -> DataFrame:
     """Nowcast payloads: a repeated category, a category left out, bad values."""
     n, c = L.numbers("event_id"), L.codes(D, "event_id")
     field = "obsrValue"
-    always = [
+    items = [
         _item("T1H", "'99.9'", field),
         _item("PTY", c["PTY"], field),
         _item("T1H", L.temp("event_id"), field),
         *[_item(name, n[name], field) for name in ("VEC", "UUU", "VVV")],
         _item("WSD", L.wind_text(D, "event_id"), field),
+        f"IF(event_id % 71 = 0, NULL, {_item('REH', n['REH'], field)})",
+        f"IF(event_id % 10 = 0, NULL, {_item('RN1', L.sent_rain(D, 'event_id'), field)})",
     ]
-    reh = f"IF(event_id % 71 = 0, array(), array({_item('REH', n['REH'], field)}))"
-    rn1 = f"IF(event_id % 10 = 0, array(), array({_item('RN1', L.sent_rain(D, 'event_id'), field)}))"
-    items = f"concat(array({', '.join(always)}), {reh}, {rn1})"
-    return events.selectExpr(*_document(L.raw_now(D)["basetime"], items))
+    return _document(events, L.raw_now(D)["basetime"], items)
 
 
 def ultra_texts(events: DataFrame) -> DataFrame:
     """Very-short payloads: some slots missing, one item beyond the horizon."""
-    k = L.ULTRA_K
-    n, c = L.numbers(k), L.codes(D, k)
-    at = {"fcstDate": D.ymd("ts"), "fcstTime": L.slot_time(D, "i")}
-    values = {
-        "PTY": c["PTY"],
-        "SKY": c["SKY"],
-        "LGT": c["LGT"],
-        "RN1": L.sent_rain(D, k),
-        "T1H": L.temp(k),
-        "REH": n["REH"],
-        "VEC": n["VEC"],
-        "WSD": L.wind_text(D, k),
-        "UUU": n["UUU"],
-        "VVV": n["VVV"],
-    }
-    slot = f"array({_item('PTY', repr('9'), **at)}, {', '.join(_item(c, v, **at) for c, v in values.items())})"
-    slots = f"flatten(transform(sequence(1, 7), i -> IF({k} % 11 = 0, array(), {slot})))"
-    far = _item("T1H", "'0'", fcstDate=D.ymd("ts"), fcstTime=L.slot_time(D, "9"))
-    return events.selectExpr(*_document(L.raw_ultra(D)["basetime"], f"concat({slots}, array({far}))"))
+    items = []
+    for i in range(1, 8):
+        k, at = _with(i, L.ULTRA_K), f"at{i}"
+        n, c = L.numbers(k), L.codes(D, k)
+        values = {
+            "PTY": c["PTY"],
+            "SKY": c["SKY"],
+            "LGT": c["LGT"],
+            "RN1": L.sent_rain(D, k),
+            "T1H": L.temp(k),
+            "REH": n["REH"],
+            "VEC": n["VEC"],
+            "WSD": L.wind_text(D, k),
+            "UUU": n["UUU"],
+            "VVV": n["VVV"],
+        }
+        slot = [_item("PTY", "'9'", at=at), *[_item(c, v, at=at) for c, v in values.items()]]
+        items.append(f"IF({k} % 11 = 0, NULL, concat_ws(',', {', '.join(slot)}))")
+    times = [f"{_at('day', L.slot_time(D, str(i)))} AS at{i}" for i in (*range(1, 8), 9)]
+    timed = events.selectExpr("*", f"{D.ymd('ts')} AS day").selectExpr("*", *times)
+    return _document(timed, L.raw_ultra(D)["basetime"], [*items, _item("T1H", "'0'", at="at9")])
 
 
 def short_texts(events: DataFrame) -> DataFrame:
     """Short-forecast payloads: one forecast hour on each of five days."""
-    k = L.SHORT_K
-    n, c = L.numbers(k), L.codes(D, k)
-    at = {"fcstDate": D.ymd(D.plus("ts", "i")), "fcstTime": L.short_hour(D)}
-    values = {
-        "PTY": D.text(f"{k} % 5"),
-        "SKY": c["SKY"],
-        "PCP": L.sent_rain(D, k),
-        "SNO": L.sent_snow(D, k),
-        "TMP": L.temp(k),
-        **{name: n[name] for name in ("REH", "POP", "VEC", "UUU", "VVV")},
-        "WSD": L.wind_text(D, k),
-    }
-    slot = f"array({_item('TMP', repr('99.9'), **at)}, {', '.join(_item(c, v, **at) for c, v in values.items())})"
-    items = f"flatten(transform(sequence(0, 4), i -> {slot}))"
-    return events.selectExpr(*_document(f"{D.ymd('ts')} || '0500'", items))
+    items = []
+    for i in range(5):
+        k, at = _with(i, L.SHORT_K), f"at{i}"
+        n, c = L.numbers(k), L.codes(D, k)
+        values = {
+            "PTY": D.text(f"{k} % 5"),
+            "SKY": c["SKY"],
+            "PCP": L.sent_rain(D, k),
+            "SNO": L.sent_snow(D, k),
+            "TMP": L.temp(k),
+            **{name: n[name] for name in ("REH", "POP", "VEC", "UUU", "VVV")},
+            "WSD": L.wind_text(D, k),
+        }
+        items += [_item("TMP", "'99.9'", at=at), *[_item(c, v, at=at) for c, v in values.items()]]
+    times = [f"{_at(D.ymd(D.plus('ts', str(i))), _with(i, L.short_hour(D)))} AS at{i}" for i in range(5)]
+    return _document(events.selectExpr("*", *times), f"{D.ymd('ts')} || '0500'", items)
 
 
 def documents(events: DataFrame, feed: str) -> DataFrame:

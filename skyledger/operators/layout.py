@@ -17,6 +17,20 @@ def compact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *columns)
 
 
+# Rows of which each becomes a payload of several kilobytes: so many give a task of seconds.
+ROWS_EACH = 20_000
+
+
+def deal(df: DataFrame, rows: int) -> DataFrame:
+    """Rows dealt over all cores, and over more tasks the more ``rows`` there are.
+
+    For small rows that costly work follows on. The number of partitions a file comes in says little: all rows of
+    one row group lie in one of them, and bytes do not tell the work. So the rows move once, whatever they lie in.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-rows // ROWS_EACH)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all cores if the input came in fewer pieces, as a file that cannot be split does.
 

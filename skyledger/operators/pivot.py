@@ -12,9 +12,51 @@ def last_value(items: Column, category: str, field: str) -> Column:
     """Value of a category in an item array; a repeated category: the last wins.
 
     Works inside the payload row, so a landed document turns into wide rows
-    without any shuffle.
+    without any shuffle. The turned arrays are the same for all categories and
+    made once; a search in them is compiled, which a lambda is not.
     """
-    return F.try_element_at(F.filter(items, lambda item: item["category"] == category), F.lit(-1))[field]
+    return value_at(F.reverse(items["category"]), F.reverse(items[field]), F.lit(category))
+
+
+def value_at(keys: Column, values: Column, key: Column) -> Column:
+    """The value that stands where the key stands first; NULL without the key."""
+    return F.get(values, (F.array_position(keys, key) - 1).cast("int"))
+
+
+# Stands in no category and in no forecast time that is looked for.
+_BETWEEN = "\u0000"
+
+
+def time_keys(items: Column) -> Column:
+    """Forecast hour and category of each item as one text."""
+    return F.transform(items, lambda item: time_key(item["fcstTime"], item["category"]))
+
+
+def time_key(time: Column, category: Column) -> Column:
+    return F.concat(time, F.lit(_BETWEEN), category)
+
+
+def spans_of_times(slots: Column, at: str, times: Column, *arrays: str) -> Column:
+    """Slots (structs with a time ``at``) that occur among ``times``, each with its stretch of the arrays.
+
+    A stretch goes from the first to the last item of the time, so it is short if
+    they lie together; whatever lies between them is told apart by its key.
+    """
+    ends = F.transform(
+        slots,
+        lambda slot: F.struct(
+            slot.alias("slot"),
+            F.array_position(times, slot[at]).cast("int").alias("start"),
+            (F.size(times) + 1 - F.array_position(F.reverse(times), slot[at])).cast("int").alias("end"),
+        ),
+    )
+    return F.transform(
+        F.filter(ends, lambda span: span["start"] > 0),
+        lambda span: F.struct(
+            span["slot"].alias("slot"),
+            *[F.slice(F.col(c), span["start"], span["end"] - span["start"] + 1).alias(c) for c in arrays],
+        ),
+    )
 
 
 def items_by_time(docs: DataFrame) -> DataFrame:

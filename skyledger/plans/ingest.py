@@ -16,7 +16,7 @@ from skyledger.constants import CATEGORIES, NOW, SHORT, ULTRA
 from skyledger.functions import clock, icons, precipitation
 from skyledger.operators.dims import attach_icon, attach_region
 from skyledger.operators.horizon import SLOTS
-from skyledger.operators.pivot import items_by_time, last_value
+from skyledger.operators.pivot import items_by_time, last_value, spans_of_times, time_key, time_keys, value_at
 from skyledger.operators.typing import REJECTED, accepted, cast_numbers, rejected
 from skyledger.schemas import RAW
 from skyledger.sources.landing import with_items
@@ -64,18 +64,22 @@ def parse_ultrashort(
     either is set aside.
     """
     hour = clock.base_hour(F.col("basetime")).try_cast("int")
-    groups = F.filter(
-        F.transform(
-            clock.horizon_slots(hour, SLOTS),
-            lambda slot: F.struct(
-                slot["fcsthour"].alias("fcsthour"),
-                F.filter("items", lambda item: item["fcstTime"] == slot["fcsttime"]).alias("items"),
-            ),
-        ),
-        lambda group: F.size(group["items"]) > 0,
+    # last item first, so that the first one found is the one that counts
+    docs = with_items(docs).withColumns(
+        {
+            "hours": clock.horizon_slots(hour, SLOTS),
+            "times": F.reverse(F.col("items.fcstTime")),
+            "keys": F.reverse(time_keys(F.col("items"))),
+            "values": F.reverse(F.col("items.fcstValue")),
+        }
+    )
+    spans = spans_of_times(F.col("hours"), "fcsttime", F.col("times"), "keys", "values")
+    rows = docs.withColumn("slot", F.explode_outer(spans)).select(
+        "city", "basetime", "crawled_at", "slot.slot.*", "slot.keys", "slot.values"
     )
-    rows = _slots(with_items(docs), groups, "fcsthour")
-    wide = _wide(rows, ULTRA, F.col("items"), "fcstValue")
+    wide = rows.withColumns(
+        {c: value_at(F.col("keys"), F.col("values"), time_key(F.col("fcsttime"), F.lit(c))) for c in CATEGORIES[ULTRA]}
+    ).drop("keys", "values")
     wide = wide.withColumn("RN1", precipitation.norm_rain(F.col("RN1")))
     key = icons.weather_key_ultra(F.col("PTY"), F.col("SKY"), F.col("LGT"), F.col("RN1"))
     wide = wide.withColumn("called", F.coalesce("crawled_at", clock.wall_clock(as_of)))
