@@ -263,13 +263,16 @@ def _ingest_state(feed: str) -> Query:
         store = SnapshotStore(spark, f"{root}/state", feed)
         regions, icon_dim = lens.regions(spark, sf), dimensions.default_icons(spark)
 
+        landed = spark.read.parquet(f"{sf}/events.parquet")
+        rows = landed.count()
+
         def deliver(events: DataFrame) -> None:
             jobs.ingest_stream(
-                lens.documents(lens.place(events, sf), feed), feed, regions, icon_dim,
+                lens.documents(lens.place(deal(events, rows // 3), sf), feed), feed, regions, icon_dim,
                 raw_root=f"{root}/raw", rejects_root=f"{root}/rejects", checkpoint=f"{root}/checkpoint", store=store,
             )
 
-        _in_pieces(spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id") % 3, 3, f"{root}/in", deliver)
+        _in_pieces(landed, F.col("event_id") % 3, 3, f"{root}/in", deliver)
         return flat(store.read())
 
     return run

@@ -98,3 +98,13 @@ def test_short_items_in_any_order(spark):
         for r in rows:
             assert r[REJECTED] == []
             assert all(float(r[c]) == float(want[r["fcstdate"], r["fcsthour"], c]) for c in names)
+
+
+def test_deliveries_to_the_state_are_dealt_before_their_payloads(spark, monkeypatch):
+    """Not after them, when a row is many times as large, nor only if the files are few."""
+    plans = []
+    monkeypatch.setattr(queries.jobs, "ingest_stream", lambda docs, *_, **__: plans.append(docs._jdf.queryExecution().analyzed().toString()))
+    queries.QUERIES["ingest_state_ultrashort"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3
+    for plan in plans:
+        assert plan.index("from_json") < plan.index("Repartition")  # the later step stands first
