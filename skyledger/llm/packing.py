@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
 from skyledger.llm.text import byte_slices
-from skyledger.llm.tokens import ENCODED, encode_texts
+from skyledger.llm.tokens import ENCODED, encode_texts, forget
 
 SIZE = 2048
 END = 1
@@ -67,6 +67,7 @@ def cut_pieces(docs: DataFrame, path: str, id: str, text: str, size: int, end: i
                 if with_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_pydict(columns)
+        forget(path)
 
     schema = f"`{id}` {docs.schema[id].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task int, task_rank bigint"
     return docs.select(id, text).mapInArrow(cut, schema + (", ids array<bigint>" if with_ids else ""))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
-from skyledger.llm.text import ALPHANUMERIC, byte_slices, mix, utf8, window_hashes, word_hashes, word_spans
+from skyledger.llm.text import ALPHANUMERIC, byte_slices, give_back, mix, utf8, window_hashes, word_hashes, word_spans
 
 GOOD, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
 CLASSES, VOTES = 3, 4
@@ -356,6 +356,8 @@ def train(docs: DataFrame, labels: DataFrame | None, toxic: np.ndarray, id: str
     sums = np.zeros((2, SIZE))
     for k, name in enumerate(("good", "bad")):
         sums[k, table["feature"].to_numpy()] = table[name].to_numpy() / UNITS
+    del table
+    give_back()
 
     order = F.xxhash64("id")
     ids = votes.where("id is not null and given >= 0").groupBy("id").agg(F.min("pattern").alias("pattern"), F.min("given").alias("given"))
@@ -368,7 +370,8 @@ def train(docs: DataFrame, labels: DataFrame | None, toxic: np.ndarray, id: str
     features = [np.asarray(x.values).astype(np.int32) for x in table["features"]]
     keys = zip(table["pattern"].to_pylist(), table["given"].to_pylist(), strict=True)
     target = np.array([good.get(k, 0.5) for k in keys])
-    del table
+    del table, keys
+    give_back()
     return fit(features, target, sums)
 
 

@@ -8,6 +8,7 @@ arrays exist for one block of about a megabyte at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,8 +68,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return memory that is free but held for later use to the system: a worker outlives its tasks, and the driver its steps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of at most `limit` bytes of text, or one row."""
+    """Cut a batch into runs of rows of at most `limit` bytes of text, or one row; after the last, memory no longer used is given back."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     row, n = 0, len(sizes)
@@ -77,6 +86,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK) -> Itera
         stop = max(row + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(row, stop - row)
         row = stop
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

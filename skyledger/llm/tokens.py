@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from skyledger.llm.text import give_back
+
 ENTRIES = 300_000
 # bytes of text that are encoded at a time
 ENCODED = 1 << 22
@@ -182,12 +184,22 @@ def _library(path: str, plain: bool):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+_kept: dict[tuple[str, bool], Pieces] = {}
+
+
 def pieces_of(path: str, plain: bool = False) -> Pieces:
     """The memory of a task's process for a vocabulary file."""
-    return _pieces(path, plain)
+    if (path, plain) not in _kept:
+        _kept[path, plain] = _pieces(path, plain)
+    return _kept[path, plain]
+
+
+def forget(path: str, plain: bool = False) -> None:
+    """Drop the memory for a vocabulary file: several idle processes would hold theirs while others work."""
+    _kept.pop((path, plain), None)
+    give_back()
 
 
-@cache
 def _pieces(path: str, plain: bool) -> Pieces:
     library = _library(path, plain)
     if path.endswith(".json"):
