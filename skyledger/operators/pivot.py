@@ -112,14 +112,11 @@ def items_to_wide(
     """The same pivot for items that already lie in one row each.
 
     The category list is fixed, so there is no discovery pass, and the
-    aggregates combine before the shuffle.
+    aggregates combine before the shuffle. Each row updates all of them, so a
+    category is told by its number, and place and value are one struct: the last
+    place wins, of equal places the greatest value.
     """
-    return items.groupBy(*key).agg(
-        *[
-            F.max_by(
-                F.when(F.col("category") == c, F.col("value")),
-                F.when(F.col("category") == c, F.col(position)),
-            ).alias(c)
-            for c in categories
-        ]
-    )
+    number = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")).cast("int")
+    placed = F.struct(F.col(position).alias("at"), F.col("value"))
+    last = [F.max(F.when(F.col("_number_") == n, placed))["value"].alias(c) for n, c in enumerate(categories, 1)]
+    return items.withColumn("_number_", number).groupBy(*key).agg(*last)

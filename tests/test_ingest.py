@@ -160,6 +160,14 @@ def test_long_items_pivot_like_documents(land):
     assert (wide["T1H"], wide["REH"], wide["WSD"]) == ("2", "5", None)
 
 
+def test_long_items_of_equal_places(spark):
+    """The pivot does not depend on the order of the rows; a last item without a value counts."""
+    rows = [("a", 1, "T1H", "5"), ("a", 1, "T1H", "7"), ("a", 0, "T1H", "9"), ("a", 0, "REH", "3"), ("a", 2, "REH", None), ("a", 3, "X", "1")]
+    for order in (rows, rows[::-1]):
+        items = spark.createDataFrame(order, "city string, pos int, category string, value string").coalesce(1)
+        assert [tuple(r) for r in items_to_wide(items, ["city"], ["T1H", "REH"]).collect()] == [("a", "7", None)]
+
+
 def test_region_by_grid_cell(spark, regions):
     cells = with_grid(regions)
     assert {(r["city"], r["nx"], r["ny"]) for r in cells.collect()} == {("서울", 60, 127), ("부산", 98, 76)}
