@@ -71,8 +71,7 @@ def items_by_time(docs: DataFrame) -> DataFrame:
         F.transform(
             "items",
             lambda item, pos: F.struct(
-                item["fcstDate"].alias("fcstdate"),
-                item["fcstTime"].alias("fcsthour"),
+                F.struct(item["fcstDate"].alias("fcstdate"), item["fcstTime"].alias("fcsthour")).alias("time"),
                 pos.alias("pos"),
                 item["category"].alias("category"),
                 item["fcstValue"].alias("fcstValue"),
@@ -80,29 +79,29 @@ def items_by_time(docs: DataFrame) -> DataFrame:
         )
     )
     # Each step is referred to more than once by the next, so the optimizer
-    # keeps it as a column of its own and evaluates it once per document.
-    items, starts = F.col("by_time"), F.col("starts")
-
-    def same(index: Column, field: str) -> Column:
-        return F.get(items, index)[field].eqNullSafe(F.get(items, index - 1)[field])
-
-    first_of_time = F.filter(
-        F.sequence(F.lit(0), F.size(items) - 1),
-        lambda index: (index == 0) | ~(same(index, "fcsthour") & same(index, "fcstdate")),
-    )
-    groups = F.transform(
-        starts,
-        lambda start, n: F.struct(
-            F.get(items, start)["fcstdate"].alias("fcstdate"),
-            F.get(items, start)["fcsthour"].alias("fcsthour"),
-            F.slice(items, start + 1, F.coalesce(F.get(starts, n + 1), F.size(items)) - start).alias("items"),
-        ),
+    # keeps it as a column of its own and evaluates it once per document. A lambda
+    # is not compiled: each time meets the next one side by side, not by an index.
+    items, ends = F.col("by_time"), F.col("ends")
+    times = items["time"]
+    beside = F.arrays_zip(
+        F.sequence(F.lit(1), F.size(items)).alias("end"), times.alias("time"), F.slice(times, 2, F.size(items)).alias("next")
     )
+    last_of_time = F.filter(beside, lambda item: ~item["time"].eqNullSafe(item["next"]))["end"]
+
+    def group(end: Column, n: Column) -> Column:
+        start = F.coalesce(F.get(ends, n - 1), F.lit(0))
+        time = F.get(items, start)["time"]
+        return F.struct(
+            time["fcstdate"].alias("fcstdate"),
+            time["fcsthour"].alias("fcsthour"),
+            F.slice(items, start + 1, end - start).alias("items"),
+        )
+
     return (
         docs.withColumn("by_time", by_time)
-        .withColumn("starts", F.when(F.size(items) > 0, first_of_time))
-        .withColumn("groups", groups)
-        .drop("by_time", "starts", "items")
+        .withColumn("ends", F.when(F.size(items) > 0, last_of_time))
+        .withColumn("groups", F.transform(ends, group))
+        .drop("by_time", "ends", "items")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime
 
 import pytest
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from skyledger.constants import NOW, SHORT, ULTRA
 from skyledger.operators.dims import attach_region, with_grid
-from skyledger.operators.pivot import items_to_wide
+from skyledger.operators.pivot import items_by_time, items_to_wide
 from skyledger.plans import ingest
 from skyledger.plans.latest import latest_rows
 from skyledger.schemas import RAW
 from skyledger.sources.dimensions import default_icons, load_icons, load_regions
-from skyledger.sources.landing import explode_items, parse_landing, read_landing
+from skyledger.sources.landing import explode_items, parse_landing, read_landing, with_items
 
 
 def doc(city, basetime, items, crawled_at=None):
@@ -168,6 +169,19 @@ def test_long_items_of_equal_places(spark):
         assert [tuple(r) for r in items_to_wide(items, ["city"], ["T1H", "REH"]).collect()] == [("a", "7", None)]
 
 
+def test_items_by_time_meet_side_by_side(spark, land):
+    """Items of a time are found together wherever they stand; no lambda looks them up in the array by an index."""
+    mixed = [i for pair in zip(forecast("20240102", "0600", TMP="1", REH="2"), forecast("20240101", "0600", TMP="3", REH="4"), strict=True) for i in pair]
+    docs = land(doc("서울", "202401010500", mixed), doc("부산", "202401010500", []), doc("광주", "202401010500", None))
+    got = items_by_time(with_items(docs))
+    groups = {r["city"]: r["groups"] for r in got.collect()}
+    assert [(g["fcstdate"], [(i["category"], i["fcstValue"]) for i in g["items"]]) for g in groups["서울"]] == [
+        ("20240101", [("TMP", "3"), ("REH", "4")]), ("20240102", [("TMP", "1"), ("REH", "2")])]
+    assert not groups["부산"] and not groups["광주"]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(arrays_zip(" in text and not re.search(r"by_time#\d+\[lambda", text)
+
+
 def test_region_by_grid_cell(spark, regions):
     cells = with_grid(regions)
     assert {(r["city"], r["nx"], r["ny"]) for r in cells.collect()} == {("서울", 60, 127), ("부산", 98, 76)}
