@@ -106,7 +106,7 @@ def coalesce(start_a: np.ndarray, start_b: np.ndarray, end: int) -> tuple[np.nda
     start = np.concatenate((start_a, start_b))
     ends = np.concatenate((start_a[1:], [end], start_b[1:], [end]))
     of_b = np.repeat([False, True], [len(start_a), len(start_b)])
-    order = np.lexsort((of_b, start))
+    order = np.argsort(start, kind="stable")  # two sorted runs are merged; of equal starts A comes first
     start, of_b = start[order], of_b[order]
     reached = np.maximum.accumulate(ends[order])
     opens = np.ones(len(start), dtype=bool)

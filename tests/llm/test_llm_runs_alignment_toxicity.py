@@ -299,3 +299,10 @@ def test_the_sample_is_bounded_and_of_both_classes(spark):
     machine = toxicity.train(docs, labels, F.col("id") % 5 != 0, sample=40)
     scores = {r.doc_id: r.score for r in toxicity.scored(docs, machine, ["doc_id"]).collect()}
     assert all((scores[k] >= 0.5) == (k % 3 == 0) for k in range(600))
+
+
+def test_tilings_are_merged(monkeypatch):
+    """Tokens of A and B come in order each, so they are merged and not sorted by two keys; of equal starts A comes first."""
+    monkeypatch.setattr(np, "lexsort", None)
+    got = token_alignment.coalesce(np.array([0, 3, 5, 9]), np.array([0, 2, 5, 7, 9]), 12)
+    assert [x.tolist() for x in got] == [[0, 0, 1, 2], [0, 0, 1, 1, 2], [0, 0, 1, 2, 2, 3], [0, 1, 1, 2, 3, 4]]
