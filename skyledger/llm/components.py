@@ -2,8 +2,8 @@
 
 Each step joins the links with the least neighbour of each node. A node with a
 third of all links is one row of the aggregate after the map-side combine, and
-Spark splits its side of the join. Links are written after each step, so the
-lineage stays short; only a row count and a checksum reach the driver.
+Spark splits its side of the join. Links are written after each two steps, so the
+lineage stays short; only whether steps are left to do reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,27 +13,26 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.storage import stored
 
+# Links that a task writes: more tasks would be spent on the files of a few links each.
+ROWS_EACH = 100_000
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "root"))).first())
 
+def components(links: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
+    """`node`, `root` for every node that is not the least of its component; the root is.
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """`node`, `root` for every node that is not the least of its component; the root is."""
-    edges = stored(
-        links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).distinct(),
-        "links",
-    )
-    state = _state(edges)
-    while state[0]:
+    `known` is what this returned for earlier links, which then count as well.
+    """
+    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root"))
+    edges = stored((edges if known is None else edges.union(known)).distinct(), "links")
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // ROWS_EACH))
+    while True:
         both = edges.union(edges.select("root", "node"))
-        least = stored(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least")), "links")
+        least = stored(both.groupBy("node").agg(F.min("root").alias("least"), F.count("*").alias("n")).coalesce(parts), "links")
+        # Links keep what is connected and point to the lesser node, so once all are stars, their centres are the roots.
+        if not least.agg(F.bool_or((F.col("least") < F.col("node")) & (F.col("n") > 1))).first()[0]:
+            return edges
+        least = least.select("node", F.least("least", "node").alias("least"))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root"))
-        large = stored(large.distinct(), "links")
-        least = stored(large.groupBy("node").agg(F.min("root").alias("least")), "links")
+        least = large.groupBy("node").agg(F.min("root").alias("least"))
         small = large.join(least, "node").where("root != least").select(F.col("root").alias("node"), F.col("least").alias("root"))
-        edges = stored(small.union(least).distinct(), "links")
-        state, before = _state(edges), state
-        if state == before:
-            break
-    return edges
+        edges = stored(small.union(least).distinct().coalesce(parts), "links")

@@ -336,24 +336,25 @@ def _stars(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _ties(members: DataFrame, likely: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The likely pairs with what else ties components of one bucket."""
+    """Components of the likely pairs and of what else ties components of one bucket."""
     kind = reps.schema["id"].dataType.simpleString()
     crowded = F.col("all") - F.col("most") > BLOCK_ROWS
+    groups = components(likely)
     for depth in range(1, DEPTH + 1):
         # Buckets whose members lie in several components hold pairs not looked at yet.
-        tied = stored(_labelled(members.select("code", "id", "band"), components(likely)), "tied")
+        tied = stored(_labelled(members.select("code", "id", "band"), groups), "tied")
         open_ = stored(_open(tied), "open")
         ready = open_ if depth == DEPTH else open_.where(~crowded)
-        likely = likely.union(stored(_across(ready.join(reps.select("id", "n_shingles", *SIGNATURE), "id"), kind, percent), "across"))
+        across = stored(_across(ready.join(reps.select("id", "n_shingles", *SIGNATURE), "id"), kind, percent), "across")
         rest = open_.where(crowded).select("id", "code", F.col("band").alias("before"))
         if depth == DEPTH or rest.isEmpty():
-            break
+            return groups if across.isEmpty() else components(across, known=groups)
         # A crowded bucket is split by the codes of each later band.
         codes = reps.select("id", F.posexplode("bands").alias("band", "next"))
         coded = rest.join(codes, "id").where("band > before").select("id", "band", F.xxhash64("code", "next").alias("code"))
         members = _members(stored(coded, "coded"), F.min_by("id", F.struct(F.xxhash64("id", "code"), "id")))
-        likely = likely.union(_stars(members, reps, percent))
-    return likely
+        groups = components(across.union(_stars(members, reps, percent)), known=groups)
+    return groups
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -364,15 +365,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     reps = stored(signed.where("n_shingles > 0").join(sets, ["id", *equal], "left_semi").dropDuplicates(["id", *equal]), "reps")
     members = _members(reps.select("id", F.posexplode("bands").alias("band", "code")), F.min("id"))
     likely = _stars(members, reps, percent)
-    groups = components(_ties(members, likely, reps, percent))
+    groups = _ties(members, likely, reps, percent)
     grouped = groups.union(groups.select("root", "root").distinct()).select(F.col("node").alias("id"), F.col("root").alias("group"))
 
     # The one shuffle of texts; by sorting at every size, as the group list grows with the corpus.
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(stored(grouped, "grouped").hint("merge"), "id")
     texts = stored(texts, "texts")
     links = stored(_confirmed(likely, texts, words, percent), "confirmed")
-    more = _within(stored(_labelled(texts, components(links)), "labelled"), words, percent)
-    roots = components(links.union(more))
+    roots = components(links)
+    roots = components(_within(stored(_labelled(texts, roots), "labelled"), words, percent), known=roots)
 
     rooted = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*equal, F.coalesce("root", "id").alias("component_id"))
     out = signed.select("id", "n_shingles", *equal).join(stored(rooted, "roots"), equal, "left")
