@@ -126,13 +126,11 @@ def horizon_slots(hour: Column, slots: int = 7) -> Column:
     ``fcsthour`` is the lead index from 1, ``fcsttime`` the ``HH00`` text; the
     hours wrap at midnight.
     """
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(slots)),
-        lambda lead: F.struct(
-            lead.cast("long").alias("fcsthour"),
-            F.concat(F.lpad(F.pmod(hour + lead, F.lit(24)).cast("string"), 2, "0"), F.lit("00")).alias("fcsttime"),
-        ),
-    )
+    def slot(lead: int) -> Column:
+        text = F.lpad(F.pmod(hour + lead, F.lit(24)).cast("string"), 2, "0")
+        return F.struct(F.lit(lead).cast("long").alias("fcsthour"), F.concat(text, F.lit("00")).alias("fcsttime"))
+
+    return F.array(*[slot(lead) for lead in range(1, slots + 1)])
 
 
 def previous_day(day: Column) -> Column:

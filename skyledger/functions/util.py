@@ -20,3 +20,14 @@ def lookup(key: Column, table: Mapping[str, object], default: Column | None = No
 def none_text(text: Column, texts: Iterable[str], zero: str) -> Column:
     """Replace NULL and the given texts by ``zero``."""
     return F.when(text.isNull() | text.isin(*texts), F.lit(zero)).otherwise(text)
+
+
+def apart(column: Column) -> Column:
+    """The same value, by a lambda over one element.
+
+    A projection or filter that holds a lambda is compiled by itself, as many
+    short methods. As part of a whole stage it would be one method, and one of
+    more than 8000 bytes is left to the interpreter. Only what the lambda is over
+    is not compiled, so it should be cheap.
+    """
+    return F.get(F.transform(F.array(column), lambda value: value), F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyledger.constants import OTHER_TIER, TIER_MAX_ZOOM, TIER_MIN_ZOOM
 from skyledger.functions.grid import grid_cell
-from skyledger.functions.util import lookup
+from skyledger.functions.util import apart, lookup
 
 
 def with_grid(regions: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def attach_region(df: DataFrame, regions: DataFrame, by: str = "city") -> DataFr
         joined = df.drop("city").join(with_grid(known), ["nx", "ny"], "left")
     else:
         raise ValueError(f"unknown region key: {by}")
-    return joined.withColumn("known_region", F.coalesce("known_region", F.lit(False)))
+    return joined.withColumn("known_region", apart(F.coalesce("known_region", F.lit(False))))
 
 
 def attach_icon(df: DataFrame, icons: DataFrame, key: Column, folder: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.constants import FLOAT_CATEGORIES, INT_CATEGORIES
 
@@ -29,7 +30,9 @@ def cast_numbers(
     typed = {c: F.trim(c).try_cast(types[c]) for c in numbers}
     in_range = {c: F.coalesce(F.abs(value) <= LIMITS[types[c]], F.lit(False)) for c, value in typed.items()}
     wrong = {c: ~good for c, good in in_range.items()} | {c: ~good for c, good in checks.items()}
-    bad = F.array_compact(F.array(*[F.when(condition, F.lit(c)) for c, condition in wrong.items()]))
+    # Pieces put together are compiled, conditions inside the argument of a lambda (as of array_compact) are not.
+    none = F.array().cast(T.ArrayType(T.StringType(), containsNull=False))
+    bad = F.concat(none, *[F.when(condition, F.array(F.lit(c))).otherwise(none) for c, condition in wrong.items()])
     if strict:
         message = F.concat(F.lit("unusable: "), F.array_join(bad, ","))
         bad = F.when(F.size(bad) > 0, F.raise_error(message).cast("array<string>")).otherwise(bad)

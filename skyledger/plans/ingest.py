@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skyledger.constants import CATEGORIES, NOW, SHORT, ULTRA
 from skyledger.functions import clock, icons, precipitation
+from skyledger.functions.util import apart
 from skyledger.operators.dims import attach_icon, attach_region
 from skyledger.operators.horizon import SLOTS
 from skyledger.operators.pivot import items_by_time, last_value, spans_of_times, time_key, time_keys, value_at
@@ -27,7 +28,7 @@ def _wide(df: DataFrame, feed: str, items: Column, field: str) -> DataFrame:
 
 
 def _finish(df: DataFrame, feed: str, strict: bool) -> DataFrame:
-    checks = {"city": F.col("known_region"), "basetime": clock.is_stamp12(F.col("basetime"))}
+    checks = {"city": apart(F.col("known_region")), "basetime": clock.is_stamp12(F.col("basetime"))}
     if feed == SHORT:
         checks["fcstdate"] = clock.is_stamp8(F.col("fcstdate"))
     if feed == ULTRA:
@@ -50,7 +51,7 @@ def parse_now(docs: DataFrame, regions: DataFrame, strict: bool = False) -> Data
 def _slots(docs: DataFrame, groups: Column, *names: str) -> DataFrame:
     """One row per forecast time and its items; an empty document gives one empty row."""
     return docs.withColumn("slot", F.explode_outer(groups)).select(
-        "city", "basetime", "crawled_at", *[f"slot.{n}" for n in names], "slot.items"
+        apart(F.col("city")).alias("city"), "basetime", "crawled_at", *[f"slot.{n}" for n in names], "slot.items"
     )
 
 
@@ -63,7 +64,7 @@ def parse_ultrashort(
     call (``crawled_at``, else ``as_of``), not the forecast time. A row without
     either is set aside.
     """
-    hour = clock.base_hour(F.col("basetime")).try_cast("int")
+    hour = apart(clock.base_hour(F.col("basetime")).try_cast("int"))
     # last item first, so that the first one found is the one that counts
     docs = with_items(docs).withColumns(
         {
@@ -73,9 +74,9 @@ def parse_ultrashort(
             "values": F.reverse(F.col("items.fcstValue")),
         }
     )
-    spans = spans_of_times(F.col("hours"), "fcsttime", F.col("times"), "keys", "values")
-    rows = docs.withColumn("slot", F.explode_outer(spans)).select(
-        "city", "basetime", "crawled_at", "slot.slot.*", "slot.keys", "slot.values"
+    docs = spans_of_times(docs, "hours", SLOTS, "fcsttime", "times", "keys", "values")
+    rows = docs.withColumn("slot", F.explode_outer(F.array_compact("spans"))).select(
+        apart(F.col("city")).alias("city"), "basetime", "crawled_at", "slot.slot.*", "slot.keys", "slot.values"
     )
     wide = rows.withColumns(
         {c: value_at(F.col("keys"), F.col("values"), time_key(F.col("fcsttime"), F.lit(c))) for c in CATEGORIES[ULTRA]}
